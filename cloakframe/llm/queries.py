@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunk_codec, mpeg, packing, simhash, token_counts, warc
+from . import chunk_codec, mpeg, packing, sharding, simhash, token_counts, topk, warc
+
+#: Byte limit of a shard. A parameter: a cluster's files would rather take 256 MiB; this makes test tables split too.
+SHARD_BYTES = 1 << 20
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +34,10 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_read(spark, sf_dir, "pages"))
 
 
+def op6_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_codec.code_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,9 +46,31 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op10_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(_read(spark, sf_dir, "documents"), max_bytes=SHARD_BYTES)
+
+
+OP4_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+w as (select html, max(page_id) as top from p where strlen(html) >= 1000 group by html)
+select p.page_id, strlen(p.html) as payload_bytes, sha1(p.html) as payload_digest,
+       case when w.top is not null and p.page_id is distinct from w.top then 'revisit' else 'response' end as record_type,
+       case when p.page_id is distinct from w.top then w.top end as refers_to
+from p left join w on p.html = w.html
+"""
+
+OP6_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mpeg_audio, op3_best_fit_packing, op4_warc_index, op7_bpe_codec, op8_simhash_ball)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mpeg_audio, op3_best_fit_packing, op4_warc_index, op6_tiled_top_k, op7_bpe_codec, op8_simhash_ball, op10_extendible_hashing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_index": OP4_SQL, "op6_tiled_top_k": OP6_SQL, "op10_extendible_hashing": sharding.oracle(SHARD_BYTES)}
