@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_codec, mpeg, packing, sharding, simhash, token_counts, topk, warc
+from . import chunk_codec, mpeg, packing, sharding, simhash, token_counts, topk, toxicity, warc
 
 #: Byte limit of a shard. A parameter: a cluster's files would rather take 256 MiB; this makes test tables split too.
 SHARD_BYTES = 1 << 20
@@ -46,6 +46,11 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_nearest_examples_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.withColumns({"neighbours": F.concat_ws(",", "neighbours"), "terms": F.concat_ws(",", "terms")})
+
+
 def op10_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(_read(spark, sf_dir, "documents"), max_bytes=SHARD_BYTES)
 
@@ -69,7 +74,7 @@ select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mpeg_audio, op3_best_fit_packing, op4_warc_index, op6_tiled_top_k, op7_bpe_codec, op8_simhash_ball, op10_extendible_hashing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mpeg_audio, op3_best_fit_packing, op4_warc_index, op6_tiled_top_k, op7_bpe_codec, op8_simhash_ball, op9_nearest_examples_toxicity, op10_extendible_hashing)}
 
 
 def oracle_sql() -> dict[str, str]:
