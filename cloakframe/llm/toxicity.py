@@ -56,7 +56,7 @@ def terms_of(word: str) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples; top(v) gives the exact k nearest by cosine, ties to earlier examples."""
+    """Unit vectors of examples; top(v) gives the k nearest by exact cosine; which of equally near ones is fixed by the index."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = BLOCK):
         n = len(vectors)
@@ -77,14 +77,14 @@ class BlockMaxIndex:
         self.n, self.blocks = n, blocks
         self.opened = 0
 
-    def top(self, v: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+    def top(self, v: dict[int, float], k: int) -> list[tuple[float, int]]:
         """(cosine, example), best first."""
         bound = np.zeros(self.blocks)
         for t, w in v.items():
             bound += w * self.most[t]
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
-            if len(best) == k and bound[b] < best[-1][0] - 1e-9:
+            if len(best) == k and bound[b] <= best[-1][0]:
                 break
             self.opened += 1
             lo = b * self.block
@@ -93,7 +93,7 @@ class BlockMaxIndex:
                 i, j = self.cuts[t][b], self.cuts[t][b + 1]
                 if i < j:
                     scores[self.at[t][i:j] - lo] += w * self.weight[t][i:j]
-            found = [(round(float(s), 9), int(e)) for s, e in zip(scores, self.order[lo : lo + self.block], strict=True) if e != without]
+            found = [(round(float(s), 9), int(e)) for s, e in zip(scores, self.order[lo : lo + self.block], strict=True)]
             best = sorted(best + found, key=lambda x: (-x[0], x[1]))[:k]
         return best
 
@@ -148,7 +148,13 @@ class Model:
 
     def calibrate(self, examples: list[tuple[int, int, dict[int, int]]]) -> float:
         """Fits the monotone map on left-out votes; gives their weighted error."""
-        votes = np.array([self.vote(self.index.top(self.vector(c), self.k, without=i)) for i, (_, _, c) in enumerate(examples)])
+        near: dict[tuple, list[tuple[float, int]]] = {}  # one more than needed, so that an example can be left out of its own
+        votes = np.zeros(len(examples))
+        for i, (_, _, c) in enumerate(examples):
+            key = tuple(sorted(c.items()))
+            if key not in near:
+                near[key] = self.index.top(self.vector(c), self.k + 1)
+            votes[i] = self.vote([x for x in near[key] if x[1] != i][: self.k])
         self.map_x, self.map_y = isotonic(votes, self.labels, self.each)
         p = np.interp(votes, self.map_x, self.map_y)
         return float((self.each * (p - self.labels) ** 2).sum() / self.each.sum())
@@ -220,7 +226,7 @@ def choose_terms(rows: list[tuple[int, int, str]], rates: tuple[float, float], m
     scored = []
     for t, a in df[1].items():
         b = df[0][t]
-        if a < max(3, 0.004 * n[1]) or a / n[1] < 4 * (b + 0.5) / (n[0] + 1):
+        if a < max(3, 0.01 * n[1]) or a / n[1] < 4 * (b + 0.5) / (n[0] + 1):
             continue
         g = 0.0
         for seen, of in ((a, n[1]), (b, n[0])):
@@ -262,13 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     idf = np.log((total + 1) / (df + 1)) + 1
     probe = Model(terms, idf, 1.0, [], rates)
     examples = [(key, y, probe.counts(text)) for key, y, text in rows]
-    best = None
-    for share in (0.5, 1.0, 1.5, 2.0):
-        model = Model(terms, idf, share * float(idf.mean()) if len(idf) else 1.0, examples, rates)
-        error = model.calibrate(examples)
-        if best is None or error < best[0]:
-            best = (error, model)
-    return best[1]
+    model = Model(terms, idf, float(idf.mean()) if len(idf) else 1.0, examples, rates)
+    model.calibrate(examples)
+    return model
 
 
 def _document_frequencies(docs: DataFrame, terms: list[str], text_col: str) -> tuple[np.ndarray, int]:
