@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_codec, mpeg, packing, sharding, simhash, token_counts, topk, toxicity, warc
+from . import chunk_codec, line_dedup, mpeg, packing, sharding, simhash, token_counts, topk, toxicity, warc
 
 #: Byte limit of a shard. A parameter: a cluster's files would rather take 256 MiB; this makes test tables split too.
 SHARD_BYTES = 1 << 20
@@ -34,6 +34,10 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_read(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
 def op6_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -74,7 +78,7 @@ select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mpeg_audio, op3_best_fit_packing, op4_warc_index, op6_tiled_top_k, op7_bpe_codec, op8_simhash_ball, op9_nearest_examples_toxicity, op10_extendible_hashing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mpeg_audio, op3_best_fit_packing, op4_warc_index, op5_line_dedup, op6_tiled_top_k, op7_bpe_codec, op8_simhash_ball, op9_nearest_examples_toxicity, op10_extendible_hashing)}
 
 
 def oracle_sql() -> dict[str, str]:
