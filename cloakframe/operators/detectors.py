@@ -49,7 +49,7 @@ def term_spans(text: Column, terms: Sequence[str]) -> Column:
 
 
 def detect(docs: DataFrame, *, text_col: str = "text", terms: Sequence[str] = (), rules: Iterable[spec.Rule] = spec.RULES, model=None, canonical: bool = True) -> DataFrame:
-    """docs with clean (the text the detectors saw), source (offset map, null for the identity) and spans (array).
+    """docs with cf_clean (the text the detectors saw), cf_source (offset map, null for the identity) and cf_spans (array).
 
     Several narrow projections in place of one: each keeps what the next needs, and texts without a digit or an "@"
     skip nearly every pattern. `model` is a column function text -> array of spans (see operators/ner.py)."""
@@ -58,16 +58,16 @@ def detect(docs: DataFrame, *, text_col: str = "text", terms: Sequence[str] = ()
     if canonical:  # only texts with a character beyond ASCII are sent to Python
         special = text.rlike(r"[^\x00-\x7F]")
         folded = canonicalise(F.when(special, text))
-        out = docs.withColumn("folded", folded).withColumns({"clean": F.coalesce("folded.clean", text), "source": F.col("folded.source")}).drop("folded")
+        out = docs.withColumn("cf_folded", folded).withColumns({"cf_clean": F.coalesce("cf_folded.clean", text), "cf_source": F.col("cf_folded.source")}).drop("cf_folded")
     else:
-        out = docs.withColumns({"clean": text, "source": F.lit(None).cast("array<int>")})
-    clean = F.col("clean")
+        out = docs.withColumns({"cf_clean": text, "cf_source": F.lit(None).cast("array<int>")})
+    clean = F.col("cf_clean")
     found = F.concat(*[rule_spans(clean, r) for r in rules], iban_spans(clean), term_spans(clean, terms), *([model(clean)] if model else []))
-    out = out.withColumn("spans", found)
-    out = out.withColumn("spans", S.without_contained(F.col("spans")))
-    out = out.withColumn("tops", F.when(clean.contains("|") & (F.size("spans") > 0), S.table_headers(clean)))
-    out = out.withColumn("spans", S.with_cues(clean, F.col("spans"), F.col("tops"))).drop("tops")
-    return out.withColumn("spans", S.with_joined_addresses(clean, F.col("spans")))
+    out = out.withColumn("cf_spans", S.hold(found))
+    out = out.withColumn("cf_spans", S.hold(S.without_contained(F.col("cf_spans"))))
+    out = out.withColumn("cf_tops", F.when(clean.contains("|") & (F.size("cf_spans") > 0), S.table_headers(clean)))
+    out = out.withColumn("cf_spans", S.hold(S.with_cues(clean, F.col("cf_spans"), F.col("cf_tops")))).drop("cf_tops")
+    return out.withColumn("cf_spans", S.hold(S.with_joined_addresses(clean, F.col("cf_spans"))))
 
 
 def span_rows(docs: DataFrame, rules: Iterable[spec.Rule], *keys: str, text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.policy import Policy
+from ..session import spread, written
 from . import vault as V
 from .detectors import detect
 from .spans import NONE  # noqa: F401  (the type of an empty span array, for models)
@@ -28,10 +29,10 @@ def decided(docs: DataFrame, policy: Policy, *, text_col: str = "text", site: st
     """docs with decisions and entity_counts; without a shuffle."""
     from ..plans.policy import decide
 
-    out = decide(detect(docs, text_col=text_col, terms=policy.company_terms(), model=model), policy, site)
+    out = decide(detect(spread(docs), text_col=text_col, terms=policy.company_terms(), model=model), policy, site)
     kinds = F.transform("decisions", lambda d: d["entity_type"])
     counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda t: F.struct(t, F.size(F.filter(kinds, lambda x: x == t)).cast("long"))))
-    return out.drop("clean", "source", "spans").withColumn("entity_counts", counts)
+    return out.drop("cf_clean", "cf_source", "cf_spans").withColumn("entity_counts", counts)
 
 
 def redact(docs: DataFrame, policy: Policy, *, id_col: str = "doc_id", text_col: str = "text", scope_col: str | None = None, seq_col: str | None = None, key: bytes | None = None, vault: DataFrame | None = None, now: float = 0.0, site: str | None = None, model=None) -> Redacted:
@@ -47,6 +48,7 @@ def redact(docs: DataFrame, policy: Policy, *, id_col: str = "doc_id", text_col:
         return Redacted(found.withColumn("redacted", _spliced(text_col, value, None)), None)
     if key is None:
         raise V.VaultError("this policy pseudonymises: a vault key is needed")
+    found = written(found, "decided")  # detection runs once, whatever is joined below
     scope = F.col(scope_col) if scope_col else F.col(id_col)
     mine = F.filter("decisions", lambda d: d["action"] == "pseudonymize")
     each = found.select(F.col(id_col).alias("id"), scope.cast("string").alias("scope"), F.col(seq_col or id_col).alias("seq"), F.explode(F.transform(mine, lambda d: F.struct(d["start"].alias("start"), d["entity_type"].alias("entity_type"), value(d).alias("value")))).alias("d"))

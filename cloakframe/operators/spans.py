@@ -15,6 +15,13 @@ def span(start: Column, end: Column, entity: Column, score: Column, detector: Co
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), entity.alias("entity_type"), score.cast("double").alias("score"), detector.alias("detector"), validated.alias("validated"))
 
 
+def hold(value: Column) -> Column:
+    """The value, with a condition that is always true and that the optimizer cannot see through. A filter on it (also the
+    one that explode() implies) is then not pushed below its projection, where it would repeat the whole expression,
+    layer by layer."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _rank(s: Column) -> Column:
     """Better spans are smaller: score, then earlier, then longer, then by detector."""
     return F.struct(-s["score"], s["start"], s["start"] - s["end"], s["detector"])
