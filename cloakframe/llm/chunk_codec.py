@@ -7,7 +7,8 @@ between tasks). A cut falls anywhere, also inside words; therefore every join of
 repaired: the text from the second last stable position of the left chunk to the second one of
 the right chunk is encoded anew, and taken only if its first and last parts agree exactly with
 the tokens that the chunks have there. A join that doesn't agree, or whose chunks hold too few
-stable positions, is widened by making the two chunks one.
+stable positions, is widened by making the two chunks one. Where Python surely normalises a text as
+the tokenizer would, it does, and the library is spared its slowest step.
 
 Defined results: a null text counts as empty, with no ids and the empty decoding; repeated rows
 give repeated rows; other columns are left out; an empty table gives an empty table.
@@ -66,21 +67,30 @@ def cut_points(data: bytes, min_bytes: int = MIN_BYTES, max_bytes: int = MAX_BYT
 class ChunkCodec:
     """Encodes texts through chunks. `encoded` and `reused` count chunks, `repaired` joins, `widened` merges."""
 
-    def __init__(self, tokenizer_path: str, min_bytes: int = MIN_BYTES, max_bytes: int = MAX_BYTES, mask_bits: int = MASK_BITS, cache_bytes: int = CACHE_BYTES):
-        self.tok, self.path = tokenizer_files.load(tokenizer_path), tokenizer_path
+    def __init__(self, tokenizer_path: str, min_bytes: int = MIN_BYTES, max_bytes: int = MAX_BYTES, mask_bits: int = MASK_BITS, cache_bytes: int = CACHE_BYTES, tokenizer=None):
+        self.tok, self.path = tokenizer or tokenizer_files.load(tokenizer_path), tokenizer_path
         self.cut, self.most = (min_bytes, max_bytes, mask_bits), cache_bytes
-        self.cache: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+        self.cache: OrderedDict[str, tuple[np.ndarray, tuple[int, ...]]] = OrderedDict()
         self.size = self.encoded = self.reused = self.repaired = self.widened = 0
 
-    def _encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids and start offsets of each text."""
+    def _encode(self, texts: list[str]) -> list:
+        """The library's encodings, with offsets."""
         out = []
         for lo, hi in tokenizer_files.by_bytes(texts):
-            for e in self.tok.encode_batch(texts[lo:hi], add_special_tokens=False):
-                out.append((np.array(e.ids, np.uint32), np.array([s for s, _ in e.offsets], np.int32)))
+            out += self.tok.encode_batch(texts[lo:hi], add_special_tokens=False)
         return out
 
-    def _chunks(self, texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    @staticmethod
+    def _token_at(e, p: int) -> int:
+        """Index of the token that starts after the white space at the stable position p; -1 if none does."""
+        i = e.char_to_token(p + 1)
+        return -1 if i is None or e.token_to_chars(i)[0] != p + 1 else i
+
+    def _record(self, text: str, e) -> tuple[np.ndarray, tuple[int, ...]]:
+        """Ids of a chunk, and the tokens at its first two and last two stable positions."""
+        return np.array(e.ids, np.uint32), tuple(self._token_at(e, p) for p in boundaries.first_stable(text, 2) + boundaries.last_stable(text, 2))
+
+    def _chunks(self, texts: list[str]) -> dict[str, tuple[np.ndarray, tuple[int, ...]]]:
         """The encodings of these chunks; each that isn't known is encoded once."""
         got, todo = {}, []
         for t in dict.fromkeys(texts):
@@ -90,11 +100,11 @@ class ChunkCodec:
             else:
                 todo.append(t)
         for t, e in zip(todo, self._encode(todo), strict=True):
-            got[t] = self.cache[t] = e
-            self.size += 4 * len(t) + 8 * len(e[0]) + 400
+            got[t] = self.cache[t] = self._record(t, e)
+            self.size += 4 * len(t) + 4 * len(got[t][0]) + 600
         while self.size > self.most and self.cache:
             t, e = self.cache.popitem(last=False)
-            self.size -= 4 * len(t) + 8 * len(e[0]) + 400
+            self.size -= 4 * len(t) + 4 * len(e[0]) + 600
         self.encoded += len(todo)
         self.reused += len(texts) - len(todo)
         return got
@@ -126,13 +136,13 @@ class ChunkCodec:
                     joins.append((i, k, boundaries.last_stable(left, 2), boundaries.first_stable(right, 2)))
                     windows.append(left[joins[-1][2][0] :] + right[: joins[-1][3][1]])
             fixed, failed = {}, {}
-            for (i, k, (p0, p1), (q0, q1)), window, (ids, starts) in zip(joins, windows, self._encode(windows), strict=True):
-                left, right = split[i][k], split[i][k + 1]
-                (lid, lst), (rid, rst), edge = known[left], known[right], len(left) - p0
-                head, tail = ids[: np.searchsorted(starts, p1 - p0)], ids[np.searchsorted(starts, edge + q0) :]
-                a, b = np.searchsorted(lst, (p0, p1)), np.searchsorted(rst, (q0, q1))
-                if np.array_equal(head, lid[a[0] : a[1]]) and np.array_equal(tail, rid[b[0] : b[1]]):
-                    fixed[i, k] = (int(a[0]), ids, int(b[1]))
+            for (i, k, (p0, p1), (q0, q1)), e in zip(joins, self._encode(windows), strict=True):
+                (lid, lat), (rid, rat), edge = known[split[i][k]], known[split[i][k + 1]], len(split[i][k]) - p0
+                ids, (a0, a1), (b0, b1) = np.array(e.ids, np.uint32), lat[-2:], rat[:2]
+                h, t = self._token_at(e, p1 - p0), self._token_at(e, edge + q0)
+                sure = min(a0, a1, b0, b1, h, t) >= 0
+                if sure and np.array_equal(ids[:h], lid[a0:a1]) and np.array_equal(ids[t:], rid[b0:b1]):
+                    fixed[i, k] = (a0, ids, b1)
                     self.repaired += 1
                 else:
                     failed.setdefault(i, k)
@@ -163,10 +173,25 @@ class ChunkCodec:
         return self.tok.decode(ids.tolist(), skip_special_tokens=False)
 
 
+class Codecs:
+    """A codec for texts that Python normalises, if the tokenizer allows it, and one for all others."""
+
+    def __init__(self, tokenizer_path: str, cache_bytes: int):
+        self.whole = ChunkCodec(tokenizer_path, cache_bytes=cache_bytes // 2)
+        bare = tokenizer_files.load_plain(tokenizer_path)
+        self.plain = bare and ChunkCodec(tokenizer_path, cache_bytes=cache_bytes, tokenizer=bare)
+        self.decode = self.whole.decode
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        forms = [tokenizer_files.plain(t) if self.plain else None for t in texts]
+        easy, rest = (iter(c.encode_batch(x) if x else []) for c, x in ((self.plain, [f for f in forms if f is not None]), (self.whole, [t for t, f in zip(texts, forms, strict=True) if f is None])))
+        return [next(rest if f is None else easy) for f in forms]
+
+
 @lru_cache(maxsize=2)
-def codec(tokenizer_path: str, cache_bytes: int) -> ChunkCodec:
-    """One codec for each worker and tokenizer, kept between tasks."""
-    return ChunkCodec(tokenizer_path, cache_bytes=cache_bytes)
+def codec(tokenizer_path: str, cache_bytes: int) -> Codecs:
+    """One for each worker and tokenizer, kept between tasks."""
+    return Codecs(tokenizer_path, cache_bytes)
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
