@@ -173,6 +173,6 @@ def keep_one(docs: DataFrame, *, words: int = WORDS, radius: int = 2, id_col: st
     """The rows of docs, all columns, of which one stays of each group: that with the smallest id."""
     found = written(near_duplicates(docs, words=words, radius=radius, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), "component_id"), "simhash")
     gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    kept = docs.join(gone.withColumnRenamed("id", "gone_id"), F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    kept = docs.join(gone.withColumnRenamed("id", "cf_gone_id"), F.col(id_col).eqNullSafe(F.col("cf_gone_id")), "left_anti")
     repeated = found.groupBy("id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates([id_col]) if repeated else kept
