@@ -54,6 +54,7 @@ def detect(docs: DataFrame, *, text_col: str = "text", terms: Sequence[str] = ()
     Several narrow projections in place of one: each keeps what the next needs, and texts without a digit or an "@"
     skip nearly every pattern. `model` is a column function text -> array of spans (see operators/ner.py)."""
     ship(docs.sparkSession)
+    rules = tuple(rules)
     text = F.coalesce(F.col(text_col), F.lit(""))
     if canonical:  # only texts with a character beyond ASCII are sent to Python
         special = text.rlike(r"[^\x00-\x7F]")
@@ -62,7 +63,11 @@ def detect(docs: DataFrame, *, text_col: str = "text", terms: Sequence[str] = ()
     else:
         out = docs.withColumns({"cf_clean": text, "cf_source": F.lit(None).cast("array<int>")})
     clean = F.col("cf_clean")
-    found = F.concat(*[rule_spans(clean, r) for r in rules], iban_spans(clean), term_spans(clean, terms), *([model(clean)] if model else []))
+    # All but these hold a digit in every match: texts without one, which are most, skip the rest at a single look.
+    plain = [r for r in rules if r.entity in ("EMAIL", "API_KEY")]
+    numeric = F.concat(*[rule_spans(clean, r) for r in rules if r not in plain], iban_spans(clean))
+    gated = F.when(clean.rlike(r"\p{Nd}"), numeric).otherwise(F.array().cast(S.NONE))
+    found = F.concat(gated, *[rule_spans(clean, r) for r in plain], term_spans(clean, terms), *([model(clean)] if model else []))
     out = out.withColumn("cf_spans", S.hold(found))
     out = out.withColumn("cf_spans", S.hold(S.without_contained(F.col("cf_spans"))))
     out = out.withColumn("cf_tops", F.when(clean.contains("|") & (F.size("cf_spans") > 0), S.table_headers(clean)))
