@@ -34,7 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ or not that one is removed itself.
 3. Rarity: token counts over all lines, in 2**20 hash buckets (a fixed 4 MB, so it can be broadcast).
    Any common order is correct; the rarest tokens first makes candidates few.
 4. Prefix filter: two lines that match share one of the first n - ceil(threshold * n) + 1 tokens of this
-   order. A row for each of these goes to its token: identity, size, position and a 64-bit parity sketch.
+   order. A row for each of these goes to its token: identity, size, position and a 128-bit parity sketch.
    Tokens with very many rows are split by bands of line sizes.
 5. At its token a line meets the earlier lines. Length filter, positional filter and the sketch (each
    token of the symmetric difference flips at most one bit) are necessary conditions. A line sends on
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,10 @@ from .common import ship, written
 
 THRESHOLD, MIN_WORDS = 0.8, 3
 BUCKETS, HOT = 1 << 20, 1 << 16
+#: Runs of more lines at a token are compared by blocks.
+LONG_RUN = 4_096
+#: A written table of at most so many rows (some 20 MB) is broadcast; a larger one is joined by a shuffle.
+SMALL_ROWS = 250_000
 _NULL_ID = -(1 << 63)
 
 
@@ -50,38 +55,59 @@ def prefix_length(n: int, threshold: float = THRESHOLD) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1
 
 
-def _hashes(tokens: list[str]) -> np.ndarray:
-    import xxhash
+def first_partners(token: np.ndarray, order: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray, sig2: np.ndarray, mark: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of indices: of each line at a token one pair at most, with an earlier line that passes the
+    length, positional and sketch filters, unless an earlier one has equal tokens. `token` is sorted; `order` ranks the lines.
 
-    h = xxhash.xxh64_intdigest
-    return np.array([h(t, 7) for t in tokens], np.uint64)
-
-
-def passes(n: np.ndarray, pos: np.ndarray, sig: np.ndarray, m, at, sketch, threshold: float = THRESHOLD) -> np.ndarray:
-    """Length, positional and sketch filters of lines (n, pos, sig) against (m, at, sketch)."""
-    need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-    most = 1 + np.minimum(n - pos - 1, m - at - 1)
-    return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (most >= need) & (np.bitwise_count(sig ^ sketch) <= n + m - 2 * need)
-
-
-def first_partners(n: np.ndarray, pos: np.ndarray, sig: np.ndarray, mark: np.ndarray, threshold: float = THRESHOLD, block: int = 512) -> np.ndarray:
-    """For the lines at one token, in order: the first earlier line that passes, -1 for none, -2 for one of equal tokens."""
-    c, out = len(n), np.full(len(n), -1, np.int64)
-    for lo in range(0, c, block):
-        hi = min(lo + block, c)
-        open_ = np.arange(lo, hi)
-        for a in range(0, hi, block):
-            b = min(a + block, hi)
-            x = open_[:, None]
-            ok = passes(n[x], pos[x], sig[x], n[None, a:b], pos[None, a:b], sig[None, a:b], threshold) & (np.arange(a, b)[None, :] < x)
-            same = ok & (sig[x] == sig[None, a:b]) & (mark[x] == mark[None, a:b])
-            hit, twin = ok.any(1), same.any(1)
-            out[open_[hit]] = a + ok[hit].argmax(1)
-            out[open_[twin]] = -2
-            open_ = open_[~hit]
-            if not len(open_):
-                break
-    return out
+    Runs are sorted by size, so that a line's candidates are its neighbours; a lag is compared for all runs at once. In long
+    runs lines are compared by blocks in their order, and leave at their first hit."""
+    best = np.full(len(token), -1, np.int64)
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    sizes = np.diff(np.r_[starts, len(token)])
+    each = np.repeat(sizes, sizes)
+    rem, half = n - pos, threshold / (1 + threshold)
+
+    def sure(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        both = n[x] + n[y]
+        need = np.ceil(half * both - 1e-9).astype(np.int64)
+        ok = np.flatnonzero((rem[x] >= need) & (rem[y] >= need) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9))
+        x, y, room = x[ok], y[ok], (both - 2 * need)[ok]
+        return ok[np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) + np.bitwise_count(sig2[x] ^ sig2[y]) <= room]
+
+    def note(x: np.ndarray, y: np.ndarray) -> None:
+        late, early = np.where(order[x] > order[y], x, y), np.where(order[x] > order[y], y, x)
+        twin = (mark[x] == mark[y]) & (sig[x] == sig[y]) & (n[x] == n[y])
+        plain = ~twin & (best[late] != -2)
+        best[late[plain]] = early[plain]
+        best[late[twin]] = -2
+
+    short = np.flatnonzero((each > 1) & (each <= LONG_RUN))
+    if len(short):
+        by = short[np.lexsort((n[short], token[short]))]
+        tok, size = token[by], n[by]
+        at, lag = np.arange(1, len(by)), 1
+        while len(at):
+            at = at[at >= lag]
+            at = at[(tok[at] == tok[at - lag]) & (size[at - lag] >= threshold * size[at] - 1e-9)]
+            x, y = by[at], by[at - lag]
+            hit = sure(x, y)
+            note(x[hit], y[hit])
+            lag += 1
+    for s, c in zip(starts[sizes > LONG_RUN].tolist(), sizes[sizes > LONG_RUN].tolist(), strict=True):
+        run = s + np.argsort(order[s : s + c])
+        for lo in range(0, c, 512):
+            left = np.arange(lo, min(lo + 512, c))
+            for a in range(0, min(lo + 512, c), 512):
+                x, y = np.repeat(left, min(512, c - a)), np.tile(np.arange(a, min(a + 512, c)), len(left))
+                keep = y < x
+                x, y = run[x[keep]], run[y[keep]]
+                hit = sure(x, y)
+                note(x[hit], y[hit])
+                left = left[best[run[left]] == -1]
+                if not len(left):
+                    break
+    late = np.flatnonzero(best >= 0)
+    return late, best[late]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -121,64 +147,58 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
 def _rarity(lines: DataFrame) -> np.ndarray:
     """Counts of tokens by hash bucket over all lines."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            words = " ".join(batch.column(0).to_pylist()).split()
-            for lo in range(0, len(words), 1 << 20):
-                total += np.bincount((_hashes(words[lo : lo + (1 << 20)]) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + (1 << 16)].astype(np.int32)), pa.array(total[at[lo : lo + (1 << 16)]])], names=["bucket", "n"])
-
     out = np.zeros(BUCKETS, np.int64)
-    summed = lines.where("tokens is not null").select("tokens").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    tokens = lines.where("tokens is not null").select(F.explode(F.split("tokens", " ")).alias("token"))
+    summed = tokens.groupBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     for batch in summed.toArrow().to_batches():  # at most BUCKETS rows
         out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
 def _prefixes(lines: DataFrame, rarity, threshold: float) -> DataFrame:
-    """A row for each prefix token of each line with tokens: meet (token), id, at, shape (size and position), sig, mark."""
+    """A row for each prefix token of each line with tokens: meet (token), id, place (at, and bits of a digest of the line), shape (digest bits, position, size), sig, sig2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = rarity.value
         for batch in batches:
-            ids, ats = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts, digests = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for lo in range(0, len(texts), 4096):
-                words = [t.split(" ") for t in texts[lo : lo + 4096]]
-                sizes = np.array([len(w) for w in words])
-                h = _hashes([t for w in words for t in w])
-                line = np.repeat(np.arange(len(words)), sizes)
+            ids, ats, all_marks = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            for lo in range(0, batch.num_rows, 4096):
+                lists = batch.column(2).slice(lo, 4096)
+                sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                h = lists.flatten().to_numpy().view(np.uint64)
+                line = np.repeat(np.arange(len(sizes)), sizes)
                 starts = np.cumsum(sizes) - sizes
                 rank = counts[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                sig = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts)
-                order = np.lexsort((h, rank, line))
+                bit, half = np.uint64(1) << (h >> np.uint64(58)), h >> np.uint64(57) & np.uint64(1)
+                sig, sig2 = (np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), starts) for k in (0, 1))
+                marks = all_marks[lo : lo + 4096]
+                # The rarest first, in eighths of a power of two, then by hash: one order for all lines.
+                order = np.argsort(line.astype(np.uint64) << np.uint64(52) | (np.log2(rank + 1.0) * 7.9).astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
                 pos = np.arange(len(h)) - np.repeat(starts, sizes)
                 keep = pos < np.array([prefix_length(int(n), threshold) for n in sizes])[line]
                 line, pos, h, rank = line[keep], pos[keep], h[order][keep], rank[order][keep]
                 n = sizes[line]
-                mark = np.array([int.from_bytes(d[:4], "little") for d in digests[lo : lo + 4096]], np.int64)
                 hot = rank >= HOT  # split by bands of size; a match is in the same band or the next
                 band = np.floor(np.log(n) / -np.log(threshold) + 1e-9).astype(np.uint64)
-                meets = [(np.flatnonzero(~hot), None), (np.flatnonzero(hot), 0), (np.flatnonzero(hot), 1)]
-                for at, up in meets:
+                for at, up in ((np.flatnonzero(~hot), None), (np.flatnonzero(hot), 0), (np.flatnonzero(hot), 1)):
                     if not len(at):
                         continue
                     meet = h[at] if up is None else h[at] ^ ((band[at] + np.uint64(up + 1)) * np.uint64(0x9E3779B97F4A7C15))
                     k = line[at]
+                    mark = marks[k]
+                    place = (ats[lo + k] >> 40) << 48 | (ats[lo + k] & 0xFFFFFF) << 24 | mark >> 22
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(meet.view(np.int64)), pa.array(ids[lo + k]), pa.array(ats[lo + k]), pa.array((n[at] << 20 | pos[at]).astype(np.int64)), pa.array(sig[k].view(np.int64)), pa.array(mark[k])],
-                        names=["meet", "id", "at", "shape", "sig", "mark"],
+                        [pa.array(meet.view(np.int64)), pa.array(ids[lo + k]), pa.array(place), pa.array(mark & 0x3FFFFF | pos[at] << 22 | n[at] << 42), pa.array(sig[k].view(np.int64)), pa.array(sig2[k].view(np.int64))],
+                        names=["meet", "id", "place", "shape", "sig", "sig2"],
                     )
 
-    return lines.where("tokens is not null").select("id", "at", "tokens", "digest").mapInArrow(run, "meet long, id long, at long, shape long, sig long, mark long")
+    hashed = F.transform(F.split("tokens", " "), lambda t: F.xxhash64(t))
+    return lines.where("tokens is not null").select("id", "at", hashed.alias("h"), F.shiftrightunsigned(F.xxhash64("tokens"), 18).alias("mark")).mapInArrow(run, "meet long, id long, place long, shape long, sig long, sig2 long")
 
 
 def _links(prefixes: DataFrame, threshold: float) -> DataFrame:
     """For each line the first earlier line that passes the filters at any of its tokens: id, at, eid, eat."""
-    sent = prefixes.repartition("meet").sortWithinPartitions("meet", "id", "at")
+    sent = prefixes.repartition("meet").sortWithinPartitions("meet")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -196,22 +216,12 @@ def _links(prefixes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _at_tokens(cols: list[np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
-    token, ids, ats, shape, sig, mark = cols
-    sig, n, pos = sig.view(np.uint64), shape >> 20, shape & 0xFFFFF
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    sizes = np.diff(np.r_[starts, len(token)])
-    late, early = [], []
-    two = starts[sizes == 2]  # most runs that are no single line
-    ok = passes(n[two + 1], pos[two + 1], sig[two + 1], n[two], pos[two], sig[two], threshold)
-    ok &= ~((sig[two + 1] == sig[two]) & (mark[two + 1] == mark[two]) & (n[two + 1] == n[two]))
-    late.append(two[ok] + 1)
-    early.append(two[ok])
-    for s, c in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        got = first_partners(n[s : s + c], pos[s : s + c], sig[s : s + c], mark[s : s + c], threshold)
-        at = np.flatnonzero(got >= 0)
-        late.append(at + s)
-        early.append(got[at] + s)
-    a, b = np.concatenate(late), np.concatenate(early)
+    token, ids, places, shape, sig, sig2 = cols
+    mark = (places & 0xFFFFFF) << 22 | shape & 0x3FFFFF
+    ats = (places >> 48) << 40 | places >> 24 & 0xFFFFFF
+    order = np.empty(len(ids), np.int64)
+    order[np.lexsort((places, ids))] = np.arange(len(ids))
+    a, b = first_partners(token, order, shape >> 42, shape >> 22 & 0xFFFFF, sig.view(np.uint64), sig2.view(np.uint64), mark, threshold)
     if len(a):
         yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ats[a]), pa.array(ids[b]), pa.array(ats[b])], names=["id", "at", "eid", "eat"])
 
@@ -219,10 +229,12 @@ def _at_tokens(cols: list[np.ndarray], threshold: float) -> Iterator[pa.RecordBa
 def _verified(links: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """id, at, held: whether a link of the line holds, by the tokens themselves."""
     ends = links.select(F.explode(F.array(F.struct("id", "at", F.lit(0).alias("side")), F.struct(F.col("eid").alias("id"), F.col("eat").alias("at"), F.lit(1).alias("side")))).alias("end"), F.col("id").alias("lid"), F.col("at").alias("lat"), "eid", "eat")
-    words = lines.where("tokens is not null").select("id", "at", F.split("tokens", " ").alias("tokens"))
-    got = ends.select("end.*", "lid", "lat", "eid", "eat").join(words, ["id", "at"])
-    # A line met with itself at both ends can't be: earlier is strict.
-    pairs = got.where("side = 0").select("lid", "lat", "eid", "eat", F.col("tokens").alias("a")).join(got.where("side = 1").select("lid", "lat", "eid", "eat", F.col("tokens").alias("b")), ["lid", "lat", "eid", "eat"])
+    words = lines.where("tokens is not null").select("id", "at", "tokens")
+    ends = ends.select("end.*", "lid", "lat", "eid", "eat")
+    got = words.join(F.broadcast(ends) if links.count() <= SMALL_ROWS // 2 else ends, ["id", "at"])
+    one = lambda side: F.min(F.when(F.col("side") == side, F.col("tokens")))
+    pairs = got.groupBy("lid", "lat", "eid", "eat").agg(one(0).alias("a"), one(1).alias("b"))
+    pairs = pairs.withColumns({"a": F.split("a", " "), "b": F.split("b", " ")})
     both = F.size(F.array_intersect("a", "b"))
     holds = both >= threshold * (F.size("a") + F.size("b") - both) - 1e-9
     return pairs.select(F.col("lid").alias("id"), F.col("lat").alias("at"), holds.alias("held")).groupBy("id", "at").agg(F.max("held").alias("held"))
@@ -230,20 +242,32 @@ def _verified(links: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
 
 def _retry(missed: DataFrame, lines: DataFrame, rarity, threshold: float) -> DataFrame:
     """All candidates of the missed lines, as links."""
-    mine = _prefixes(lines.join(missed, ["id", "at"], "left_semi"), rarity, threshold).select("meet", "id", "at", "shape", "sig")
-    all_ = _prefixes(lines, rarity, threshold).select("meet", F.col("id").alias("eid"), F.col("at").alias("eat"), F.col("shape").alias("eshape"), F.col("sig").alias("esig"))
-    n, m = F.shiftright("shape", 20), F.shiftright("eshape", 20)
+    few = missed.count() <= SMALL_ROWS // 10  # about ten rows each
+    mine = lines.join(F.broadcast(missed) if few else missed, ["id", "at"], "left_semi")
+    lo, hi = mine.agg(F.min("n"), F.max("n")).first()  # no candidate is much shorter or longer
+    at = F.shiftleft(F.shiftright("place", 48), 40) + F.shiftright("place", 24) % (1 << 24)
+    mine = _prefixes(mine, rarity, threshold).select("meet", "id", at.alias("at"), "shape", "sig", "sig2")
+    near = lines.where(F.col("n").between(int(lo * threshold), math.ceil(hi / threshold)))
+    all_ = _prefixes(near, rarity, threshold).select("meet", F.col("id").alias("eid"), at.alias("eat"), F.col("shape").alias("eshape"), F.col("sig").alias("esig"), F.col("sig2").alias("esig2"))
+    n, m = F.shiftright("shape", 42), F.shiftright("eshape", 42)
+    pos, epos = F.shiftright("shape", 22) % (1 << 20), F.shiftright("eshape", 22) % (1 << 20)
     need = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-    most = 1 + F.least(n - F.col("shape") % (1 << 20) - 1, m - F.col("eshape") % (1 << 20) - 1)
+    most = 1 + F.least(n - pos - 1, m - epos - 1)
     earlier = (F.col("eid") < F.col("id")) | ((F.col("eid") == F.col("id")) & (F.col("eat") < F.col("at")))
-    ok = earlier & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (most >= need) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("esig"))) <= n + m - 2 * need)
-    return mine.join(all_, (mine["meet"] == all_["meet"]) & ok).select("id", "at", "eid", "eat").distinct()
+    ok = earlier & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (most >= need) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("esig"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("esig2"))) <= n + m - 2 * need)
+    return all_.join(F.broadcast(mine) if few else mine, (mine["meet"] == all_["meet"]) & ok).select("id", "at", "eid", "eat").distinct()
+
+
+def _small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def _release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now and not when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second call finds what the first one's clean-up let go
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,7 +281,7 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: i
     missed = found.where("not held").select("id", "at")
     near = found.where("held").select("id", "at")
     if missed.limit(1).count():
-        again = written(_verified(_retry(missed, lines, rarity, threshold), lines, threshold), "lines")
+        again = written(_verified(written(_retry(missed, lines, rarity, threshold), "lines"), lines, threshold), "lines")
         near = near.unionByName(again.where("held").select("id", "at"))
     _release(spark)
     first = lines.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
@@ -266,20 +290,20 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: i
 
 
 def dedup_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all columns, its texts without the removed lines, and a column lines_removed (long)."""
+    """docs with all columns, its texts without the removed lines, and a column lines_removed (long; an input column of that name goes)."""
     gone = removed_lines(docs, threshold=threshold, min_words=min_words, id_col=id_col, text_col=text_col)
-    by_doc = gone.groupBy(F.col("id").alias("gone_id"), F.shiftright("at", 40).alias("gone_tag")).agg(F.collect_set((F.col("at") % (1 << 40)).cast("int")).alias("gone_lines"))
+    by_doc = gone.groupBy(F.col("id").alias("cf_gone_id"), F.shiftright("at", 40).alias("cf_gone_tag")).agg(F.collect_set((F.col("at") % (1 << 40)).cast("int")).alias("cf_gone_lines"))
     by_id = written(by_doc, "lines")
     _release(docs.sparkSession)
-    repeated = by_id.groupBy("gone_id").count().where("count > 1").limit(1).count() or docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)) == F.col("gone_id")
+    repeated = by_id.groupBy("cf_gone_id").count().where("count > 1").limit(1).count() or docs.groupBy(id_col).count().where("count > 1").limit(1).count()
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)) == F.col("cf_gone_id")
     if repeated:  # rows of one id are told apart by their text
-        key &= F.col("gone_tag") == _tag(F.col(text_col))
-    joined = docs.join(by_id, key, "left")
+        key &= F.col("cf_gone_tag") == _tag(F.col(text_col))
+    joined = docs.join(_small(by_id), key, "left")
     numbered = F.transform(F.split(text_col, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    kept = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains("gone_lines", s["i"])), lambda s: s["x"]), "\n")
-    text = F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("lines_removed"))
+    kept = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains("cf_gone_lines", s["i"])), lambda s: s["x"]), "\n")
+    text = F.when(F.col("cf_gone_lines").isNull(), F.col(text_col)).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "lines_removed"], F.coalesce(F.size("cf_gone_lines"), F.lit(0)).cast("long").alias("lines_removed"))
 
 
 @F.pandas_udf(T.LongType())
