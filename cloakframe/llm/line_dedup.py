@@ -10,15 +10,16 @@ or not that one is removed itself.
    Any common order is correct; the rarest tokens first makes candidates few.
 4. Prefix filter: two lines that match share one of the first n - ceil(threshold * n) + 1 tokens of this
    order. A row for each of these goes to its token: identity, size, position and a 128-bit parity sketch.
-   Tokens with very many rows are split by bands of line sizes.
+   Tokens with very many rows are split by bands of line sizes. Lines so short that only equal tokens reach the
+   threshold (up to three at 0.8) are settled by step 2 and send none.
 5. At its token a line meets the earlier lines. Length filter, positional filter and the sketch (each
    token of the symmetric difference flips at most one bit) are necessary conditions. A line sends on
    only the first line that passes, so a group of copies gives as many links as it has lines, not all pairs.
 6. Links are verified with the tokens themselves. A line none of whose links holds is joined
    once more with all its candidates, so none is lost.
 
-Defined results: lines are split at "\\n"; lines of fewer than `min_words` distinct words always stay; a null
-text has no line and stays null; ids are integers, a null id comes first; rows with the same id but another
+Defined results: lines are split at "\\n"; lines of fewer than `min_words` distinct words (at 1: lines without a word)
+always stay; a null text has no line and stays null; ids are integers, a null id comes first; rows with the same id but another
 text are ordered by a hash of the text, rows repeated in whole are one row with equal results; an empty
 table gives an empty table.
 """
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 
 from .common import ship, written
 
-THRESHOLD, MIN_WORDS = 0.8, 3
+THRESHOLD, MIN_WORDS = 0.8, 1
 BUCKETS, HOT = 1 << 20, 1 << 16
 #: Runs of more lines at a token are compared by blocks.
 LONG_RUN = 4_096
@@ -274,14 +275,15 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: i
     """Lines to remove: id (null as the least long), at (see _lines)."""
     spark = ship(docs.sparkSession)
     lines = written(_lines(docs, id_col, text_col, min_words), "lines")
-    rarity = spark.sparkContext.broadcast(_rarity(lines))
-    links = written(_links(_prefixes(lines, rarity, threshold), threshold), "lines")
+    longer = lines.where(F.col("n") >= threshold * (F.col("n") + 1) - 1e-9)  # shorter ones match equal tokens only
+    rarity = spark.sparkContext.broadcast(_rarity(longer))
+    links = written(_links(_prefixes(longer, rarity, threshold), threshold), "lines")
     _release(spark)
-    found = written(_verified(links, lines, threshold), "lines")
+    found = written(_verified(links, longer, threshold), "lines")
     missed = found.where("not held").select("id", "at")
     near = found.where("held").select("id", "at")
     if missed.limit(1).count():
-        again = written(_verified(written(_retry(missed, lines, rarity, threshold), "lines"), lines, threshold), "lines")
+        again = written(_verified(written(_retry(missed, longer, rarity, threshold), "lines"), longer, threshold), "lines")
         near = near.unionByName(again.where("held").select("id", "at"))
     _release(spark)
     first = lines.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1")

@@ -270,6 +270,12 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_short_lines_are_deduplicated(spark):
+    rows = [(1, "Les.\nErheed. Titionly.\n\n \n文書の一行目です\na b c d"), (2, "les.\nTitionly. Erheed.\nLes. Les.\n\nother"), (3, "文書の一行目です\nb c a\nd c b a e"), (4, "Les\nc b a")]
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nother", 3), 3: ("b c a", 2), 4: ("Les", 1)}
+
+
 def test_long_runs_equal_short_ones(monkeypatch):
     rng = np.random.default_rng(2)
     c = 300
