@@ -28,7 +28,7 @@ def _checked(rule: spec.Rule, hits: Column) -> Column:
 
 
 def rule_spans(text: Column, rule: spec.Rule) -> Column:
-    return _checked(rule, C.matches(text, rule.java, rule.only))
+    return _checked(rule, C.matches(text, rule.java, rule.java_only))
 
 
 def iban_spans(text: Column) -> Column:

@@ -197,6 +197,21 @@ def test_claims_are_first_come():
     assert claims(["x"], {"X"}) == [False]
 
 
+def test_prefilters_lose_no_other_digits(spark):
+    texts = [
+        "card 4111 1111 1111 1111 or 4111 1111\n1111 1111 sin 130 692 544 ssn 123-45-6789 or 123456789", "AB 12 34 56 C passport X1234567 or 123456789", "2221 0000 0000 0009",
+        "call (604) 555-0199 or +44 20 7946 0958 or +14155550123 or 6045550199 or 555-0199", "born 1990-04-12 or 12/04/1990 or April 12, 1990 or 12 April 1990", "at 12 Elm Street, Leeds",
+        "12 Rue Victor Hugo, Paris", "PO Box 123", "Flat 12", "home, London, SW1A 1AA", "home, Toronto, M5V 3L9", "home, Austin, TX 73301", "PSC 1234, Box 5678, APO AE 09123",
+    ]
+    turned = [t.translate({ord("0") + d: zero + d for d in range(10)}) for t in texts for zero in (0x30, 0x660, 0x966)]
+    df = spark.createDataFrame([(t,) for t in turned], "text string")
+    found = df.select(*[F.size(C.matches(F.col("text"), r.java, only)).alias(f"{i}_{k}") for i, r in enumerate(spec.RULES) for k, only in enumerate((r.java_only, None))]).collect()
+    for i, r in enumerate(spec.RULES):
+        assert [row[f"{i}_0"] for row in found] == [row[f"{i}_1"] for row in found], r.name
+    spans = detect(df.where("text like 'call%'"), canonical=False).select(F.size(F.filter("cf_spans", lambda s: s["entity_type"] == "PHONE"))).collect()
+    assert len(spans) == 3 and len({n for n, in spans}) == 1 and spans[0][0] > 0
+
+
 def test_rules_never_match_nothing():
     for r in spec.RULES:
         assert r.score <= 1 and r.only
