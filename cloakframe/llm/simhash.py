@@ -61,15 +61,20 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fp (the fingerprint as a signed long)."""
+    return _fingerprinted(docs, words, id_col, text_col).drop("hash")
+
+
+def _fingerprinted(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, fp, hash (of the text, which tells rows of one id apart)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["id", "fp", "hash"])
 
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("hash"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, hash long")
 
 
 def flips(bits: int, most: int) -> list[int]:
@@ -158,21 +163,30 @@ def ball_links(distinct: DataFrame, n: int, radius: int = 2) -> DataFrame:
     return sent.mapInArrow(meet, "a long, b long")
 
 
+def _grouped(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct (fp, least) with the root of each fingerprint's component."""
+    roots = components(ball_links(distinct.select("fp"), distinct.count(), radius))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, fingerprint (16 lower-case hex digits), component_id: the smallest id reachable over links of at most 2 * radius bits."""
     rows = written(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "simhash")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash")
-    roots = components(ball_links(distinct.select("fp"), distinct.count(), radius))
-    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = _grouped(written(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash"), radius)
     of_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(of_root, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, words: int = WORDS, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of which one stays of each group: that with the smallest id."""
-    found = written(near_duplicates(docs, words=words, radius=radius, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), "component_id"), "simhash")
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    kept = docs.join(gone.withColumnRenamed("id", "cf_gone_id"), F.col(id_col).eqNullSafe(F.col("cf_gone_id")), "left_anti")
-    repeated = found.groupBy("id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    """The rows of docs, all columns, of which one stays of each group: that with the smallest id (a null id comes last), then the
+    smallest hash of the text. Rows are told apart by id and text, so that rows that share an id do not stand for one another."""
+    rows = written(_fingerprinted(docs, words, id_col, text_col), "simhash")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least")
+    first = _grouped(written(rows.groupBy("fp").agg(least), "simhash"), radius).groupBy("root").agg(F.min("least").alias("least"))
+    kept = first.select(F.col("least.id").alias("cf_kept_id"), F.col("least.hash").alias("cf_kept_hash"))
+    own = docs.withColumn("cf_hash", F.xxhash64(text_of(text_col)))
+    left = own.join(kept, F.col(id_col).eqNullSafe(F.col("cf_kept_id")) & (F.col("cf_hash") == F.col("cf_kept_hash")), "left_semi")
+    if rows.groupBy("id", "hash").count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates([id_col, "cf_hash"])
+    return left.drop("cf_hash")

@@ -238,6 +238,15 @@ def test_near_duplicates(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randint(0, 9_999)}" for _ in range(60))
+    one, two, three, four, five = (text() for _ in range(5))
+    rows = [(1, one), (7, two), (7, three), (None, one), (None, four), (None, five), (9, two), (7, two)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(1, one), (7, two), (7, three), (None, four), (None, five)], key=str)
+
+
 # --- lines, toxicity, pipeline ----------------------------------------------------------------------------
 
 
