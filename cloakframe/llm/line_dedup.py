@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,11 +145,16 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
     return rows.mapInArrow(run, "id long, at long, digest binary, n int, tokens string")
 
 
+def _words(lines: DataFrame, name: str = "tokens") -> Column:
+    """A column of tokens as an array: text with spaces between them, or an array already."""
+    return F.col(name) if isinstance(lines.schema[name].dataType, T.ArrayType) else F.split(name, " ")
+
+
 def _rarity(lines: DataFrame) -> np.ndarray:
     """Counts of tokens by hash bucket over all lines."""
 
     out = np.zeros(BUCKETS, np.int64)
-    tokens = lines.where("tokens is not null").select(F.explode(F.split("tokens", " ")).alias("token"))
+    tokens = lines.where("tokens is not null").select(F.explode(_words(lines)).alias("token"))
     summed = tokens.groupBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     for batch in summed.toArrow().to_batches():  # at most BUCKETS rows
         out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
@@ -193,7 +198,7 @@ def _prefixes(lines: DataFrame, rarity, threshold: float) -> DataFrame:
                         names=["meet", "id", "place", "shape", "sig", "sig2"],
                     )
 
-    hashed = F.transform(F.split("tokens", " "), lambda t: F.xxhash64(t))
+    hashed = F.transform(_words(lines), lambda t: F.xxhash64(t))
     return lines.where("tokens is not null").select("id", "at", hashed.alias("h"), F.shiftrightunsigned(F.xxhash64("tokens"), 18).alias("mark")).mapInArrow(run, "meet long, id long, place long, shape long, sig long, sig2 long")
 
 
@@ -235,7 +240,7 @@ def _verified(links: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     got = words.join(F.broadcast(ends) if links.count() <= SMALL_ROWS // 2 else ends, ["id", "at"])
     one = lambda side: F.min(F.when(F.col("side") == side, F.col("tokens")))
     pairs = got.groupBy("lid", "lat", "eid", "eat").agg(one(0).alias("a"), one(1).alias("b"))
-    pairs = pairs.withColumns({"a": F.split("a", " "), "b": F.split("b", " ")})
+    pairs = pairs.withColumns({"a": _words(pairs, "a"), "b": _words(pairs, "b")})
     both = F.size(F.array_intersect("a", "b"))
     holds = both >= threshold * (F.size("a") + F.size("b") - both) - 1e-9
     return pairs.select(F.col("lid").alias("id"), F.col("lat").alias("at"), holds.alias("held")).groupBy("id", "at").agg(F.max("held").alias("held"))
@@ -273,8 +278,13 @@ def _release(spark: SparkSession) -> None:
 
 def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to remove: id (null as the least long), at (see _lines)."""
-    spark = ship(docs.sparkSession)
-    lines = written(_lines(docs, id_col, text_col, min_words), "lines")
+    ship(docs.sparkSession)
+    return removed(written(_lines(docs, id_col, text_col, min_words), "lines"), threshold)
+
+
+def removed(lines: DataFrame, threshold: float) -> DataFrame:
+    """id, at of the written rows (as of _lines) that are similar to an earlier one."""
+    spark = lines.sparkSession
     longer = lines.where(F.col("n") >= threshold * (F.col("n") + 1) - 1e-9)  # shorter ones match equal tokens only
     rarity = spark.sparkContext.broadcast(_rarity(longer))
     links = written(_links(_prefixes(longer, rarity, threshold), threshold), "lines")

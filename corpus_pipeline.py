@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxic documents go, repeated lines go, one document of each near-duplicate group stays, the rest is packed.
+"""The corpus pipeline: toxic documents go, repeated lines go, documents near to an earlier one go, the rest is packed.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents. run()
 writes each stage's result to the shared folder as Parquet and reads it again for the next. Nulls, empty texts,
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import line_dedup, packing, simhash, toxicity
+from cloakframe.llm import line_dedup, near_copies, packing, toxicity
 from cloakframe.llm.common import written
 
 
@@ -28,7 +28,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

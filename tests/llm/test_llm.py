@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cloakframe.llm import chunk_codec, components, line_dedup, mpeg, packing, sharding, simhash, token_counts, topk, toxicity, warc
+from cloakframe.llm import chunk_codec, components, line_dedup, mpeg, near_copies, packing, sharding, simhash, token_counts, topk, toxicity, warc
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 LONG = " ".join(f"word{i % 97} lorem" for i in range(9_000))
@@ -342,6 +342,29 @@ def test_index_is_exact():
     assert index.opened < 60 * index.blocks
 
 
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randint(0, 5_000)}" for _ in range(rng.randint(20, 200))]
+        for k in range(4):  # copies with 0 to 5 changed words, on both sides of 0.8
+            words = list(base)
+            for _ in range(rng.randint(0, 5)):
+                words[rng.randrange(len(words))] = f"x{rng.randint(0, 5_000)}"
+            rows.append((None if g == 11 else g * 10 + k // 2 if g == 10 else g * 10 + k, " ".join(words)))
+    rows += [(200, ""), (201, None), (202, "Two words"), (203, "two  words"), (204, "two"), (204, "two")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()]
+    sets = lambda t: frozenset(near_copies.shingles(t or "").tolist())
+    like = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
+    kept = [sets(t) for _, t in left]
+    assert not any(like(a, b) for i, a in enumerate(kept) for b in kept[:i])
+    gone = set(rows) - set(left)
+    assert len(gone) > 10 and all(any(like(sets(t), sets(u)) and (j is None or i is not None and j <= i) for j, u in rows if (j, u) != (i, t)) for i, t in gone)
+    assert {i for i, _ in left if i and i >= 200} == {200, 202, 204}
+
+
 def test_pipeline(spark, tmp_path):
     df, labels = toxic_corpus(spark)
     extra = spark.createDataFrame([(1_000, "", "e"), (1_001, None, "e"), (1_002, "an only line that nobody else has", "e"), (1_003, "an only line that nobody else has", "e")], df.schema)
