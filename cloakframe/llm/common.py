@@ -1,41 +1,17 @@
-"""What the operators of this subpackage share: worker set-up, the shared folder, stable helpers."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import os
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers of this session import the package when it isn't installed on their side."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
-    return spark
-
+from ..session import bucketed, cleaned_up, discard, shared_dir, ship, written
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; where that is unset (as in tests), under the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["NULL_ID", "bucketed", "cleaned_up", "discard", "order_id", "parallelism", "shared_dir", "ship", "text_of", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: What a null id counts as where ids are ordered: it comes first.
+NULL_ID = -(1 << 63)
 
 
 def text_of(name: str = "text") -> Column:
@@ -43,5 +19,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def order_id(df: DataFrame, id_col: str) -> Column:
+    """The id as a long to order by: whole numbers as they are, other kinds by their hash, null first."""
+    whole = isinstance(df.schema[id_col].dataType, T.IntegralType)
+    value = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    return F.coalesce(value, F.lit(NULL_ID))
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

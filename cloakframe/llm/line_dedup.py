@@ -1,51 +1,55 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct words, lower-cased and split at white space. A line is removed if an
-earlier line, in the order of (id, line number), has a Jaccard similarity of at least `threshold`, whether
-or not that one is removed itself.
-
-1. Lines with their sorted tokens are written once; lines repeated in a batch keep the tokens of the first.
-2. Lines with equal tokens: all but the first are removed (an aggregation on a 128-bit digest).
-3. Rarity: token counts over all lines, in 2**20 hash buckets (a fixed 4 MB, so it can be broadcast).
+A line's tokens are its distinct words, lower-cased and split at white space. A line is removed if an earlier line has a
+Jaccard similarity of at least `threshold`, whether or not that one is removed itself. Lines are ordered by (id, line number),
+then by a hash of their tokens.
+
+1. Each batch of texts keeps the first of its equal lines (equal sets of tokens) and marks the others as removed, so that a
+   line which a third of all texts hold travels once a batch. What is kept is dealt by a 128-bit digest and written in
+   buckets of it; at its digest each set of tokens has one first line. Only these go on.
+2. Rarity: token counts over all first lines, by 2**22 hash buckets, a byte each (4 MB in a broadcast, whatever the input).
    Any common order is correct; the rarest tokens first makes candidates few.
-4. Prefix filter: two lines that match share one of the first n - ceil(threshold * n) + 1 tokens of this
-   order. A row for each of these goes to its token: identity, size, position and a 128-bit parity sketch.
-   Tokens with very many rows are split by bands of line sizes. Lines so short that only equal tokens reach the
-   threshold (up to three at 0.8) are settled by step 2 and send none.
-5. At its token a line meets the earlier lines. Length filter, positional filter and the sketch (each
-   token of the symmetric difference flips at most one bit) are necessary conditions. A line sends on
-   only the first line that passes, so a group of copies gives as many links as it has lines, not all pairs.
-6. Links are verified with the tokens themselves. A line none of whose links holds is joined
-   once more with all its candidates, so none is lost.
-
-Defined results: lines are split at "\\n"; lines of fewer than `min_words` distinct words (at 1: lines without a word)
-always stay; a null text has no line and stays null; ids are integers, a null id comes first; rows with the same id but another
-text are ordered by a hash of the text, rows repeated in whole are one row with equal results; an empty
-table gives an empty table.
+3. Prefix filter: two lines that match share one of the first n - ceil(threshold * n) + 1 tokens of this order. A row for
+   each of these goes to its token: order, size, position and a 128-bit parity sketch. Tokens of one line only meet nobody
+   and are left out. At a token of very many lines the first two common tokens meet in place of the first: a row for each
+   pair of it and a later token of the prefix, which is one longer then. Lines so short that only equal tokens reach the
+   threshold (up to three at 0.8) are settled by step 1.
+4. At its token a line meets the earlier lines. Length filter, positional filter and the sketch (each token of the symmetric
+   difference flips at most one bit) are necessary conditions. A line sends on only its nearest partner by the sketch, so a
+   group of near copies gives as many links as it has lines, not all pairs.
+5. Links are verified with the tokens themselves, read from their buckets. A line none of whose links holds meets all its
+   candidates once more, so none is lost.
+
+Plans are the same at every size, and each step's shuffle files go when its result is written.
+
+Defined results: lines are split at "\\n"; lines of fewer than `min_words` distinct words (at 1: lines without a word) always
+stay; a null text has no line and stays null; ids that aren't whole numbers are ordered by their hash, a null id comes first;
+rows with the same id are told apart by a 64-bit hash of the text; rows repeated in whole are one row with equal results; an
+input column lines_removed goes; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, written
+from .common import bucketed, discard, order_id, ship, text_of, written
 
 THRESHOLD, MIN_WORDS = 0.8, 1
-BUCKETS, HOT = 1 << 20, 1 << 16
+BUCKETS, SIEVE = 1 << 22, 1 << 22
+#: Rows at a token from which pairs of tokens meet.
+HOT = 1 << 16
 #: Runs of more lines at a token are compared by blocks.
 LONG_RUN = 4_096
-#: A written table of at most so many rows (some 20 MB) is broadcast; a larger one is joined by a shuffle.
-SMALL_ROWS = 250_000
-_NULL_ID = -(1 << 63)
+#: A rarity of n lines is kept as the whole part of this times log2(n + 1).
+STEPS = 7.9
+LINES = T.StructType([T.StructField(n, t) for n, t in (("d", T.LongType()), ("d2", T.LongType()), ("id", T.LongType()), ("no", T.IntegerType()), ("row", T.LongType()), ("n", T.IntegerType()), ("tokens", T.StringType()), ("gone", T.ArrayType(T.IntegerType())))])
 
 
 def tokens_of(line: str) -> list[str]:
@@ -56,31 +60,35 @@ def prefix_length(n: int, threshold: float = THRESHOLD) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1
 
 
-def first_partners(token: np.ndarray, order: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray, sig2: np.ndarray, mark: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (later, earlier) of indices: of each line at a token one pair at most, with an earlier line that passes the
-    length, positional and sketch filters, unless an earlier one has equal tokens. `token` is sorted; `order` ranks the lines.
+# --- at a token -----------------------------------------------------------------------------------
+
+
+def nearest_partners(token: np.ndarray, order: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray, sig2: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of indices: of each line at a token one pair at most, with the earlier line nearest to it by the
+    sketch among those that pass the length, positional and sketch filters. `token` is sorted; `order` ranks the lines.
 
     Runs are sorted by size, so that a line's candidates are its neighbours; a lag is compared for all runs at once. In long
-    runs lines are compared by blocks in their order, and leave at their first hit."""
-    best = np.full(len(token), -1, np.int64)
+    runs lines are compared by blocks, from their own one back to the first, and leave after the block of their first hit."""
+    best, least = np.full(len(token), -1, np.int64), np.full(len(token), 1 << 20, np.int64)
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     sizes = np.diff(np.r_[starts, len(token)])
     each = np.repeat(sizes, sizes)
     rem, half = n - pos, threshold / (1 + threshold)
 
-    def sure(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
         both = n[x] + n[y]
         need = np.ceil(half * both - 1e-9).astype(np.int64)
         ok = np.flatnonzero((rem[x] >= need) & (rem[y] >= need) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9))
         x, y, room = x[ok], y[ok], (both - 2 * need)[ok]
-        return ok[np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) + np.bitwise_count(sig2[x] ^ sig2[y]) <= room]
-
-    def note(x: np.ndarray, y: np.ndarray) -> None:
-        late, early = np.where(order[x] > order[y], x, y), np.where(order[x] > order[y], y, x)
-        twin = (mark[x] == mark[y]) & (sig[x] == sig[y]) & (n[x] == n[y])
-        plain = ~twin & (best[late] != -2)
-        best[late[plain]] = early[plain]
-        best[late[twin]] = -2
+        far = np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) + np.bitwise_count(sig2[x] ^ sig2[y])
+        hit = np.flatnonzero(far <= room)
+        x, y, far = x[hit], y[hit], far[hit]
+        swap = order[x] < order[y]
+        late, early = np.where(swap, y, x), np.where(swap, x, y)
+        at = np.lexsort((far, late))  # of each later line the nearest of these
+        at = at[np.r_[True, late[at][1:] != late[at][:-1]]] if len(at) else at
+        at = at[far[at] < least[late[at]]]
+        best[late[at]], least[late[at]] = early[at], far[at]
 
     short = np.flatnonzero((each > 1) & (each <= LONG_RUN))
     if len(short):
@@ -90,20 +98,17 @@ def first_partners(token: np.ndarray, order: np.ndarray, n: np.ndarray, pos: np.
         while len(at):
             at = at[at >= lag]
             at = at[(tok[at] == tok[at - lag]) & (size[at - lag] >= threshold * size[at] - 1e-9)]
-            x, y = by[at], by[at - lag]
-            hit = sure(x, y)
-            note(x[hit], y[hit])
+            compare(by[at], by[at - lag])
             lag += 1
     for s, c in zip(starts[sizes > LONG_RUN].tolist(), sizes[sizes > LONG_RUN].tolist(), strict=True):
         run = s + np.argsort(order[s : s + c])
         for lo in range(0, c, 512):
             left = np.arange(lo, min(lo + 512, c))
-            for a in range(0, min(lo + 512, c), 512):
-                x, y = np.repeat(left, min(512, c - a)), np.tile(np.arange(a, min(a + 512, c)), len(left))
+            for a in range(lo, -1, -512):
+                right = np.arange(a, min(a + 512, c))
+                x, y = np.repeat(left, len(right)), np.tile(right, len(left))
                 keep = y < x
-                x, y = run[x[keep]], run[y[keep]]
-                hit = sure(x, y)
-                note(x[hit], y[hit])
+                compare(run[x[keep]], run[y[keep]])
                 left = left[best[run[left]] == -1]
                 if not len(left):
                     break
@@ -111,38 +116,66 @@ def first_partners(token: np.ndarray, order: np.ndarray, n: np.ndarray, pos: np.
     return late, best[late]
 
 
+# --- lines and their first ones -------------------------------------------------------------------
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """Lines that count: id, at (16 hash bits of the text and the line's number), digest, n, tokens (null for a repeat in a batch)."""
+    """As LINES: of each batch the first of its equal lines, and for each text the numbers of its others (gone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            first: dict[bytes, int] = {}
-            ids, ats, digests, sizes, words = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            first: dict[bytes, tuple] = {}  # digest -> place, size, words
+            known: dict[str, tuple[bytes, int, str] | None] = {}  # of lines as they stand
+            gone: dict[tuple[int, int], set[int]] = {}
+            for key, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text is None:
                     continue
-                tag = (xxhash.xxh64_intdigest(text.encode("utf-8"), 3) & 0x7FFF) << 40
                 for no, line in enumerate(text.split("\n")):
-                    tokens = tokens_of(line)
-                    if len(tokens) < min_words:
+                    hit = known.get(line, 0)
+                    if hit == 0:
+                        words = tokens_of(line)
+                        joined = " ".join(words)
+                        hit = known[line] = (xxhash.xxh3_128_digest(joined.encode("utf-8")), len(words), joined) if len(words) >= min_words else None
+                    if hit is None:
                         continue
-                    joined = " ".join(tokens)
-                    d = xxhash.xxh3_128_digest(joined.encode("utf-8"))
-                    row, seen = (key, tag | no), first.get(d)
-                    if seen is not None and (ids[seen], ats[seen]) <= row:
-                        joined = None
-                    else:
-                        if seen is not None:
-                            joined, words[seen] = words[seen], None
-                        first[d] = len(ids)
-                    for c, v in zip((ids, ats, digests, sizes, words), (key, tag | no, d, len(tokens), joined), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(words, pa.string())], names=["id", "at", "digest", "n", "tokens"])
-
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, at long, digest binary, n int, tokens string")
+                    place, seen = (key, no, row), first.get(hit[0])
+                    if seen is None:
+                        first[hit[0]] = (place, hit[1], hit[2])
+                    elif place < seen[0]:
+                        first[hit[0]] = (place, hit[1], hit[2])
+                        gone.setdefault((seen[0][0], seen[0][2]), set()).add(seen[0][1])
+                    elif place > seen[0]:
+                        gone.setdefault((key, row), set()).add(no)
+            yield line_batch([(d, *place, n, words) for d, (place, n, words) in first.items()], gone, pa.string())
+
+    rows = docs.select(order_id(docs, id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, LINES)
+
+
+def line_batch(firsts: list[tuple], gone: dict[tuple[int, int], set[int]], kind: pa.DataType) -> pa.RecordBatch:
+    """First lines (digest, id, no, row, n, tokens), and (id, row) with the numbers of removed lines, as one batch."""
+    digests, ids, nos, rows, sizes, words = (list(c) for c in zip(*firsts, strict=True)) if firsts else ([],) * 6
+    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    m, more = len(firsts), len(gone)
+    cols = [
+        pa.array(np.r_[halves[:, 0], np.array([r for _, r in gone], np.int64)], pa.int64()), pa.array([*halves[:, 1].tolist(), *[None] * more], pa.int64()), pa.array([*ids, *(i for i, _ in gone)], pa.int64()), pa.array([*nos, *[None] * more], pa.int32()),
+        pa.array([*rows, *(r for _, r in gone)], pa.int64()), pa.array([*sizes, *[None] * more], pa.int32()), pa.array([*words, *[None] * more], kind), pa.array([*[None] * m, *map(sorted, gone.values())], pa.list_(pa.int32())),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=LINES.names)
+
+
+def ranked(lines: DataFrame) -> DataFrame:
+    """Lines in buckets of d, with first (whether no equal line is earlier) and tokens for one first line of each digest."""
+    dealt = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "d")
+    same = Window.partitionBy("d", "d2").orderBy("id", "no", "row")
+    placed = dealt.withColumns({"first": F.rank().over(same) == 1, "one": F.row_number().over(same) == 1})
+    kept = placed.withColumns({"first": F.col("first") & F.col("d2").isNotNull(), "tokens": F.when(F.col("one"), F.col("tokens"))}).drop("one")
+    return bucketed(kept, "lines", "d")
+
+
+# --- the join -------------------------------------------------------------------------------------
 
 
 def _words(lines: DataFrame, name: str = "tokens") -> Column:
@@ -150,177 +183,164 @@ def _words(lines: DataFrame, name: str = "tokens") -> Column:
     return F.col(name) if isinstance(lines.schema[name].dataType, T.ArrayType) else F.split(name, " ")
 
 
-def _rarity(lines: DataFrame) -> np.ndarray:
-    """Counts of tokens by hash bucket over all lines."""
+def _table(buckets: DataFrame, size: int) -> np.ndarray:
+    """Rows (at, value byte), at most `size`, as an array."""
+    out = np.zeros(size, np.uint8)
+    for batch in buckets.toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint8)
+    return out
+
 
-    out = np.zeros(BUCKETS, np.int64)
-    tokens = lines.where("tokens is not null").select(F.explode(_words(lines)).alias("token"))
-    summed = tokens.groupBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    for batch in summed.toArrow().to_batches():  # at most BUCKETS rows
-        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
+def _rarity(firsts: DataFrame) -> np.ndarray:
+    """Counts of tokens by hash bucket over all first lines, on a logarithmic scale."""
+    at = F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("at")
+    counts = firsts.select(F.explode(_words(firsts)).alias("token")).groupBy(at).agg(F.count("*").alias("n"))
+    return _table(counts.select("at", F.least(F.floor(F.log2(F.col("n") + 1) * STEPS), F.lit(255)).cast("int").cast("byte").alias("level")), BUCKETS)
 
 
-def _prefixes(lines: DataFrame, rarity, threshold: float) -> DataFrame:
-    """A row for each prefix token of each line with tokens: meet (token), id, place (at, and bits of a digest of the line), shape (digest bits, position, size), sig, sig2."""
+def _prefixes(firsts: DataFrame, rarity, threshold: float, wanted=None) -> DataFrame:
+    """A row for each prefix token of each line: meet (the token), id, shape (line number, size, position), d, sig, sig2; with
+    `wanted` only those whose token it may hold. Sizes beyond 2**24 - 1 and positions beyond 255 are cut: filters weaken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = rarity.value
+        levels = rarity.value
+        single, hot = int(STEPS), int(STEPS * math.log2(HOT + 1))
+        sieve = None if wanted is None else wanted.value
         for batch in batches:
-            ids, ats, all_marks = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            ids, nos, ds = (batch.column(i).to_numpy() for i in (0, 1, 2))
             for lo in range(0, batch.num_rows, 4096):
-                lists = batch.column(2).slice(lo, 4096)
+                lists = batch.column(3).slice(lo, 4096)
                 sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
                 h = lists.flatten().to_numpy().view(np.uint64)
                 line = np.repeat(np.arange(len(sizes)), sizes)
                 starts = np.cumsum(sizes) - sizes
-                rank = counts[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                level = levels[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 bit, half = np.uint64(1) << (h >> np.uint64(58)), h >> np.uint64(57) & np.uint64(1)
                 sig, sig2 = (np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), starts) for k in (0, 1))
-                marks = all_marks[lo : lo + 4096]
-                # The rarest first, in eighths of a power of two, then by hash: one order for all lines.
-                order = np.argsort(line.astype(np.uint64) << np.uint64(52) | (np.log2(rank + 1.0) * 7.9).astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
+                # The rarest first, then by 44 bits of the hash, which are the token from here on: one order for all lines.
+                key = np.sort(line.astype(np.uint64) << np.uint64(52) | level.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
+                meet, level = key & np.uint64((1 << 44) - 1), (key >> np.uint64(44)).astype(np.uint8).astype(np.int64)
                 pos = np.arange(len(h)) - np.repeat(starts, sizes)
-                keep = pos < np.array([prefix_length(int(n), threshold) for n in sizes])[line]
-                line, pos, h, rank = line[keep], pos[keep], h[order][keep], rank[order][keep]
-                n = sizes[line]
-                hot = rank >= HOT  # split by bands of size; a match is in the same band or the next
-                band = np.floor(np.log(n) / -np.log(threshold) + 1e-9).astype(np.uint64)
-                for at, up in ((np.flatnonzero(~hot), None), (np.flatnonzero(hot), 0), (np.flatnonzero(hot), 1)):
-                    if not len(at):
-                        continue
-                    meet = h[at] if up is None else h[at] ^ ((band[at] + np.uint64(up + 1)) * np.uint64(0x9E3779B97F4A7C15))
-                    k = line[at]
-                    mark = marks[k]
-                    place = (ats[lo + k] >> 40) << 48 | (ats[lo + k] & 0xFFFFFF) << 24 | mark >> 22
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(meet.view(np.int64)), pa.array(ids[lo + k]), pa.array(place), pa.array(mark & 0x3FFFFF | pos[at] << 22 | n[at] << 42), pa.array(sig[k].view(np.int64)), pa.array(sig2[k].view(np.int64))],
-                        names=["meet", "id", "place", "shape", "sig", "sig2"],
-                    )
-
-    hashed = F.transform(_words(lines), lambda t: F.xxhash64(t))
-    return lines.where("tokens is not null").select("id", "at", hashed.alias("h"), F.shiftrightunsigned(F.xxhash64("tokens"), 18).alias("mark")).mapInArrow(run, "meet long, id long, place long, shape long, sig long, sig2 long")
+                last = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64)  # the last place of each prefix
+                plain = np.flatnonzero((pos <= last[line]) & (level > single) & (level < hot))
+                found = [(line[plain], pos[plain], meet[plain])]
+                often = np.flatnonzero((pos <= last[line] + 1) & (level >= hot))  # the end of a prefix, and one place more
+                if len(often):
+                    own, begin, many = np.unique(line[often], return_index=True, return_counts=True)
+                    for c in np.unique(many[many > 1]).tolist():
+                        a, b = np.triu_indices(c, 1)
+                        base = often[begin[many == c]][:, None]
+                        i, j = (base + a).ravel(), (base + b).ravel()
+                        mixed = meet[i] * np.uint64(0x9E3779B97F4A7C15) ^ meet[j] * np.uint64(0xC2B2AE3D27D4EB4F)
+                        found.append((np.repeat(own[many == c], len(a)), pos[i], mixed >> np.uint64(20) | np.uint64(1 << 44)))
+                line, pos, meet = (np.concatenate(x) for x in zip(*found, strict=True))
+                if sieve is not None:
+                    some = sieve[(meet % np.uint64(SIEVE)).astype(np.int64)] > 0
+                    line, pos, meet = line[some], pos[some], meet[some]
+                shape = nos[lo + line].astype(np.int64) << 32 | np.minimum(sizes[line], (1 << 24) - 1) << 8 | np.minimum(pos, 255)
+                cols = (meet.view(np.int64), ids[lo + line], shape, ds[lo + line], sig[line].view(np.int64), sig2[line].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["meet", "id", "shape", "d", "sig", "sig2"])
+
+    hashed = F.transform(_words(firsts), lambda t: F.xxhash64(t))
+    return firsts.select("id", "no", "d", hashed.alias("h")).mapInArrow(run, "meet long, id long, shape long, d long, sig long, sig2 long")
 
 
 def _links(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """For each line the first earlier line that passes the filters at any of its tokens: id, at, eid, eat."""
+    """For each line the nearest earlier line at each of its tokens: late, early (d of both)."""
     sent = prefixes.repartition("meet").sortWithinPartitions("meet")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[list[np.ndarray]] = []  # of the last token, which may go on
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(6)]
-            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last token may go on
-            held = [c[cut:] for c in cols]
-            if cut:
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if held and (cut or held[0][0][0] != cols[0][0]):
+                yield from _at_tokens([np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols], strict=True)], threshold)
+                held = []
+            elif cut:
                 yield from _at_tokens([c[:cut] for c in cols], threshold)
-        if held is not None and len(held[0]):
-            yield from _at_tokens(held, threshold)
+            held.append([c[cut:] for c in cols])
+        if held:
+            yield from _at_tokens([np.concatenate(x) for x in zip(*held, strict=True)], threshold)
 
-    return sent.mapInArrow(meet, "id long, at long, eid long, eat long").distinct()
+    return sent.mapInArrow(meet, "late long, early long").distinct()
 
 
 def _at_tokens(cols: list[np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
-    token, ids, places, shape, sig, sig2 = cols
-    mark = (places & 0xFFFFFF) << 22 | shape & 0x3FFFFF
-    ats = (places >> 48) << 40 | places >> 24 & 0xFFFFFF
+    token, ids, shape, d, sig, sig2 = cols
     order = np.empty(len(ids), np.int64)
-    order[np.lexsort((places, ids))] = np.arange(len(ids))
-    a, b = first_partners(token, order, shape >> 42, shape >> 22 & 0xFFFFF, sig.view(np.uint64), sig2.view(np.uint64), mark, threshold)
+    order[np.lexsort((d, shape >> 32, ids))] = np.arange(len(ids))
+    a, b = nearest_partners(token, order, shape >> 8 & 0xFFFFFF, shape & 0xFF, sig.view(np.uint64), sig2.view(np.uint64), threshold)
     if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ats[a]), pa.array(ids[b]), pa.array(ats[b])], names=["id", "at", "eid", "eat"])
+        yield pa.RecordBatch.from_arrays([pa.array(d[a]), pa.array(d[b])], names=["late", "early"])
 
 
-def _verified(links: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """id, at, held: whether a link of the line holds, by the tokens themselves."""
-    ends = links.select(F.explode(F.array(F.struct("id", "at", F.lit(0).alias("side")), F.struct(F.col("eid").alias("id"), F.col("eat").alias("at"), F.lit(1).alias("side")))).alias("end"), F.col("id").alias("lid"), F.col("at").alias("lat"), "eid", "eat")
-    words = lines.where("tokens is not null").select("id", "at", "tokens")
-    ends = ends.select("end.*", "lid", "lat", "eid", "eat")
-    got = words.join(F.broadcast(ends) if links.count() <= SMALL_ROWS // 2 else ends, ["id", "at"])
-    one = lambda side: F.min(F.when(F.col("side") == side, F.col("tokens")))
-    pairs = got.groupBy("lid", "lat", "eid", "eat").agg(one(0).alias("a"), one(1).alias("b"))
-    pairs = pairs.withColumns({"a": _words(pairs, "a"), "b": _words(pairs, "b")})
-    both = F.size(F.array_intersect("a", "b"))
-    holds = both >= threshold * (F.size("a") + F.size("b") - both) - 1e-9
-    return pairs.select(F.col("lid").alias("id"), F.col("lat").alias("at"), holds.alias("held")).groupBy("id", "at").agg(F.max("held").alias("held"))
+def _verified(links: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """d, d2, held: whether a link of the line holds, by the tokens themselves."""
+    pairs = links.join(firsts.select(F.col("d").alias("early"), F.col("tokens").alias("b")), "early").select("late", "b")
+    pairs = pairs.join(firsts.select(F.col("d").alias("late"), "d2", F.col("tokens").alias("a")), "late")
+    a, b = _words(pairs, "a"), _words(pairs, "b")
+    both = F.size(F.array_intersect(a, b))
+    holds = both >= threshold * (F.size(a) + F.size(b) - both) - 1e-9
+    return pairs.select(F.col("late").alias("d"), "d2", holds.alias("held")).groupBy("d", "d2").agg(F.max("held").alias("held"))
 
 
-def _retry(missed: DataFrame, lines: DataFrame, rarity, threshold: float) -> DataFrame:
+def _retry(missed: DataFrame, firsts: DataFrame, rarity, threshold: float) -> DataFrame:
     """All candidates of the missed lines, as links."""
-    few = missed.count() <= SMALL_ROWS // 10  # about ten rows each
-    mine = lines.join(F.broadcast(missed) if few else missed, ["id", "at"], "left_semi")
-    lo, hi = mine.agg(F.min("n"), F.max("n")).first()  # no candidate is much shorter or longer
-    at = F.shiftleft(F.shiftright("place", 48), 40) + F.shiftright("place", 24) % (1 << 24)
-    mine = _prefixes(mine, rarity, threshold).select("meet", "id", at.alias("at"), "shape", "sig", "sig2")
-    near = lines.where(F.col("n").between(int(lo * threshold), math.ceil(hi / threshold)))
-    all_ = _prefixes(near, rarity, threshold).select("meet", F.col("id").alias("eid"), at.alias("eat"), F.col("shape").alias("eshape"), F.col("sig").alias("esig"), F.col("sig2").alias("esig2"))
-    n, m = F.shiftright("shape", 42), F.shiftright("eshape", 42)
-    pos, epos = F.shiftright("shape", 22) % (1 << 20), F.shiftright("eshape", 22) % (1 << 20)
+    spark = firsts.sparkSession
+    mine = written(_prefixes(firsts.join(missed, _same(firsts, missed), "left_semi"), rarity, threshold), "lines")
+    asked = _table(mine.select(F.pmod("meet", F.lit(SIEVE)).cast("int").alias("at"), F.lit(1).cast("byte").alias("some")).distinct(), SIEVE)
+    theirs = _prefixes(firsts, rarity, threshold, spark.sparkContext.broadcast(asked)).select("meet", *[F.col(c).alias(f"e_{c}") for c in ("id", "shape", "d", "sig", "sig2")])
+    part = lambda c: (F.shiftright(c, 32), F.shiftright(c, 8).bitwiseAND(0xFFFFFF), F.col(c).bitwiseAND(0xFF))
+    (no, n, pos), (e_no, m, e_pos) = part("shape"), part("e_shape")
     need = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-    most = 1 + F.least(n - pos - 1, m - epos - 1)
-    earlier = (F.col("eid") < F.col("id")) | ((F.col("eid") == F.col("id")) & (F.col("eat") < F.col("at")))
-    ok = earlier & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (most >= need) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("esig"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("esig2"))) <= n + m - 2 * need)
-    return all_.join(F.broadcast(mine) if few else mine, (mine["meet"] == all_["meet"]) & ok).select("id", "at", "eid", "eat").distinct()
-
-
-def _small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    return F.broadcast(table) if table.count() <= rows else table
+    earlier = F.struct(F.col("e_id").alias("i"), e_no.alias("n"), F.col("e_d").alias("d")) < F.struct(F.col("id").alias("i"), no.alias("n"), F.col("d").alias("d"))
+    far = F.bit_count(F.col("sig").bitwiseXOR(F.col("e_sig"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("e_sig2")))
+    near = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.least(n - pos, m - e_pos) >= need) & (far <= n + m - 2 * need)
+    return mine.join(theirs, (mine["meet"] == theirs["meet"]) & earlier & near).select(F.col("d").alias("late"), F.col("e_d").alias("early")).distinct()
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now and not when the driver next collects its garbage."""
-    for _ in range(2):  # the second call finds what the first one's clean-up let go
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines to remove: id (null as the least long), at (see _lines)."""
-    ship(docs.sparkSession)
-    return removed(written(_lines(docs, id_col, text_col, min_words), "lines"), threshold)
+def _same(lines: DataFrame, others: DataFrame) -> Column:
+    """Equal digests. Only d is an equality to Spark, so that lines are read in their buckets of d."""
+    return (lines["d"] == others["d"]) & (lines["d2"] >= others["d2"]) & (lines["d2"] <= others["d2"])
 
 
-def removed(lines: DataFrame, threshold: float) -> DataFrame:
-    """id, at of the written rows (as of _lines) that are similar to an earlier one."""
-    spark = lines.sparkSession
-    longer = lines.where(F.col("n") >= threshold * (F.col("n") + 1) - 1e-9)  # shorter ones match equal tokens only
-    rarity = spark.sparkContext.broadcast(_rarity(longer))
+def similar(table: DataFrame, threshold: float) -> DataFrame:
+    """Of ranked lines those first ones that are similar to an earlier one: d, d2."""
+    longer = table.where("tokens is not null").where(F.col("n") >= threshold * (F.col("n") + 1) - 1e-9)  # shorter ones match equal tokens only
+    rarity = table.sparkSession.sparkContext.broadcast(_rarity(longer))
     links = written(_links(_prefixes(longer, rarity, threshold), threshold), "lines")
-    _release(spark)
     found = written(_verified(links, longer, threshold), "lines")
-    missed = found.where("not held").select("id", "at")
-    near = found.where("held").select("id", "at")
+    discard(links)
+    near, missed = found.where("held").select("d", "d2"), found.where("not held").select("d", "d2")
     if missed.limit(1).count():
-        again = written(_verified(written(_retry(missed, longer, rarity, threshold), "lines"), longer, threshold), "lines")
-        near = near.unionByName(again.where("held").select("id", "at"))
-    _release(spark)
-    first = lines.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    again = lines.select("id", "at", "digest").join(first, "digest").where(F.struct("id", "at") != F.col("first")).select("id", "at")
-    return near.unionByName(again).distinct()
-
-
-def dedup_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all columns, its texts without the removed lines, and a column lines_removed (long; an input column of that name goes)."""
-    gone = removed_lines(docs, threshold=threshold, min_words=min_words, id_col=id_col, text_col=text_col)
-    by_doc = gone.groupBy(F.col("id").alias("cf_gone_id"), F.shiftright("at", 40).alias("cf_gone_tag")).agg(F.collect_set((F.col("at") % (1 << 40)).cast("int")).alias("cf_gone_lines"))
-    by_id = written(by_doc, "lines")
-    _release(docs.sparkSession)
-    repeated = by_id.groupBy("cf_gone_id").count().where("count > 1").limit(1).count() or docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)) == F.col("cf_gone_id")
-    if repeated:  # rows of one id are told apart by their text
-        key &= F.col("cf_gone_tag") == _tag(F.col(text_col))
-    joined = docs.join(_small(by_id), key, "left")
-    numbered = F.transform(F.split(text_col, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    kept = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains("cf_gone_lines", s["i"])), lambda s: s["x"]), "\n")
-    text = F.when(F.col("cf_gone_lines").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "lines_removed"], F.coalesce(F.size("cf_gone_lines"), F.lit(0)).cast("long").alias("lines_removed"))
+        again = written(_retry(missed, longer, rarity, threshold), "lines")
+        near = near.unionByName(_verified(again, longer, threshold).where("held").select("d", "d2"))
+    return near
+
+
+def removed(table: DataFrame, threshold: float) -> DataFrame:
+    """Of ranked lines: id, row, gone (the numbers of removed lines)."""
+    near, lines = similar(table, threshold).withColumn("near", F.lit(True)), table.where("d2 is not null")
+    seen = lines.join(near, _same(lines, near), "left")
+    late = seen.where(~F.col("first") | F.coalesce("near", F.lit(False))).select("id", "row", F.array("no").alias("gone"))
+    all_ = late.unionByName(table.where("d2 is null").select("id", "row", "gone"))
+    return all_.groupBy("id", "row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-@F.pandas_udf(T.LongType())
-def _tag(texts):
-    """The hash bits that _lines puts before line numbers."""
-    import xxhash
+# --- operator -------------------------------------------------------------------------------------
 
-    return texts.map(lambda t: None if t is None else xxhash.xxh64_intdigest(t.encode("utf-8"), 3) & 0x7FFF).astype("Int64")
+
+def dedup_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", count_col: str = "lines_removed") -> DataFrame:
+    """docs with all columns, its texts without the removed lines, and count_col (long; an input column of that name goes)."""
+    ship(docs.sparkSession)
+    table = ranked(_lines(docs, id_col, text_col, min_words))
+    gone = written(removed(table, threshold), "lines").select(F.col("id").alias("cf_id"), F.col("row").alias("cf_row"), F.col("gone").alias("cf_gone"))
+    discard(table)
+    joined = docs.join(gone, (order_id(docs, id_col) == F.col("cf_id")) & (F.xxhash64(text_col) == F.col("cf_row")), "left")
+    numbered = F.transform(F.split(text_col, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    kept = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains("cf_gone", s["i"])), lambda s: s["x"]), "\n")
+    text = F.when(F.col("cf_gone").isNull(), F.col(text_col)).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col], F.coalesce(F.size("cf_gone"), F.lit(0)).cast("long").alias(count_col))

@@ -5,8 +5,8 @@ space. A document goes if an earlier one, in the order of (id, hash of the text)
 `threshold`, whether or not that one goes itself: no two documents that stay are that similar.
 
 Defined results: a text of fewer than `words` words has one shingle; null, empty and blank texts have none and equal each
-other; ids are integers, a null id comes first; rows of one id are told apart by 39 bits of a hash of the text; of rows
-repeated in whole one stays; an empty table gives an empty table.
+other; ids that aren't whole numbers are ordered by their hash, a null id comes first; rows of one id are told apart by a
+64-bit hash of the text; of rows repeated in whole one stays; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import line_dedup
-from .common import ship, text_of, written
+from .common import discard, order_id, ship, text_of, written
 
 WORDS, THRESHOLD = 5, 0.8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+SETS = T.StructType([T.StructField(f.name, T.ArrayType(T.LongType()) if f.name == "tokens" else f.dataType) for f in line_dedup.LINES])
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -34,35 +36,41 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(r) for r in runs], np.uint64).view(np.int64))
 
 
-def _at(text_col: str) -> Column:
-    """39 bits of a hash of the text, where line_dedup has its bits of the text and the line's number."""
-    h = F.xxhash64(text_of(text_col))
-    return F.shiftleft(h.bitwiseAND(0x7FFF), 40).bitwiseOR(F.shiftright(h, 15).bitwiseAND(0xFFFFFF))
-
-
 def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """As line_dedup's lines, one for each document; the later ones of equal documents of a batch as gone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(2).to_pylist()]
-            sizes = np.array([len(s) for s in sets], np.int32)
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            flat = np.concatenate([*sets, np.empty(0, np.int64)])
-            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["id", "at", "digest", "n", "tokens"])
-
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(line_dedup._NULL_ID)).alias("id"), _at(text_col).alias("at"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, at long, digest binary, n int, tokens array<long>")
+            first: dict[bytes, tuple] = {}
+            known: dict[str, tuple[bytes, np.ndarray]] = {}
+            gone: dict[tuple[int, int], set[int]] = {}
+            for key, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (hit := known.get(text)) is None:
+                    own = shingles(text, words)
+                    hit = known[text] = (xxhash.xxh3_128_digest(own.tobytes()), own)
+                place, seen = (key, 0, row), first.get(hit[0])
+                if seen is None or place < seen[0]:
+                    first[hit[0]] = (place, hit[1])
+                    if seen is not None:
+                        gone[seen[0][0], seen[0][2]] = {0}
+                elif place > seen[0]:
+                    gone[key, row] = {0}
+            yield line_dedup.line_batch([(d, *place, len(own), own) for d, (place, own) in first.items()], gone, pa.list_(pa.int64()))
+
+    rows = docs.select(order_id(docs, id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("row"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(run, SETS)
 
 
 def drop_near_copies(docs: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those similar to an earlier one."""
     ship(docs.sparkSession)
-    sets = written(_sets(docs, words, id_col, text_col), "near")
-    gone = written(line_dedup.removed(sets, threshold).select(F.col("id").alias("cf_gone_id"), F.col("at").alias("cf_gone_at")), "near")
-    own = docs.withColumns({"cf_id": F.coalesce(F.col(id_col).cast("long"), F.lit(line_dedup._NULL_ID)), "cf_at": _at(text_col)})
-    left = own.join(gone, (F.col("cf_id") == F.col("cf_gone_id")) & (F.col("cf_at") == F.col("cf_gone_at")), "left_anti")
-    if sets.groupBy("id", "at").count().where("count > 1").limit(1).count():
-        left = left.dropDuplicates(["cf_id", "cf_at"])
-    return left.drop("cf_id", "cf_at")
+    sets = line_dedup.ranked(_sets(docs, words, id_col, text_col))
+    gone = written(line_dedup.removed(sets, threshold).select(F.col("id").alias("cf_gone_id"), F.col("row").alias("cf_gone_row")), "near")
+    discard(sets)
+    own = docs.withColumns({"cf_id": order_id(docs, id_col), "cf_row": F.xxhash64(text_of(text_col))})
+    left = own.join(gone, (F.col("cf_id") == F.col("cf_gone_id")) & (F.col("cf_row") == F.col("cf_gone_row")), "left_anti")
+    if own.groupBy("cf_id", "cf_row").count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates(["cf_id", "cf_row"])
+    return left.drop("cf_id", "cf_row")

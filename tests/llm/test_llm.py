@@ -279,6 +279,46 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_hot_tokens_and_retry(spark, monkeypatch):
+    """Pairs of tokens in place of hot tokens, and the second join of lines whose links fail, lose nothing."""
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 40)}" for _ in range(rng.randint(4, 30))] for _ in range(25)]
+    rows = []
+    for i in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = f"w{rng.randint(0, 40)}"
+        rows.append((i, " ".join(words)))
+    gone = brute_lines(rows)
+    assert 10 < len(gone) < 80
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    found = lambda: {r["doc_id"] for r in line_dedup.dedup_lines(df).collect() if r["lines_removed"]}
+    assert found() == {i for i, _ in gone}
+    verified, calls = line_dedup._verified, []
+
+    def none_hold(links, firsts, threshold):
+        out = verified(links, firsts, threshold)
+        calls.append(1)
+        return out.withColumn("held", F.lit(False)) if len(calls) % 2 else out
+
+    monkeypatch.setattr(line_dedup, "_verified", none_hold)
+    assert found() == {i for i, _ in gone} and len(calls) == 2
+
+
+def test_ids_of_any_kind_and_repeats(spark):
+    two = "alpha beta gamma delta epsilon\nzeta eta theta iota kappa"
+    rows = [("b", two), ("a", "zeta eta theta iota kappa\nown words of this one text"), ("a", two), ("a", two), (None, "alpha beta gamma delta epsilon")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string").repartition(2)).collect()
+    assert len(got) == 5 and sum("alpha beta gamma" in r["text"] for r in got if r["doc_id"] != "a") <= 1
+    assert sum(len(r["text"].split("\n")) - (r["text"] == "") for r in got) >= 3
+    whole = [r["text"] for r in got if r["doc_id"] == "a"]
+    assert sum("own words of this one text" in t for t in whole) == 1
+    same = [(7, two), (7, two), (8, two)]
+    got = sorted((r["doc_id"], r["text"], r["lines_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(same, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(7, two, 0), (7, two, 0), (8, "", 2)]
+
+
 def test_short_lines_are_deduplicated(spark):
     rows = [(1, "Les.\nErheed. Titionly.\n\n \n文書の一行目です\na b c d"), (2, "les.\nTitionly. Erheed.\nLes. Les.\n\nother"), (3, "文書の一行目です\nb c a\nd c b a e"), (4, "Les\nc b a")]
     got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -289,11 +329,11 @@ def test_long_runs_equal_short_ones(monkeypatch):
     rng = np.random.default_rng(2)
     c = 300
     n, order = rng.integers(8, 12, c), rng.permutation(c)
-    args = np.zeros(c, np.int64), order, n, np.zeros(c, np.int64), rng.integers(0, 4, c).astype(np.uint64), np.zeros(c, np.uint64), np.arange(c)
+    args = np.zeros(c, np.int64), order, n, np.zeros(c, np.int64), rng.integers(0, 4, c).astype(np.uint64), np.zeros(c, np.uint64)
     found = []
     for run in (4_096, 1):
         monkeypatch.setattr(line_dedup, "LONG_RUN", run)
-        a, b = line_dedup.first_partners(*args)
+        a, b = line_dedup.nearest_partners(*args)
         assert (order[a] > order[b]).all()
         found.append(sorted(a.tolist()))
     assert found[0] == found[1]
