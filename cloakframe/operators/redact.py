@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.policy import Policy
-from ..session import spread, written
+from ..session import written
 from . import vault as V
 from .detectors import detect
 from .spans import NONE  # noqa: F401  (the type of an empty span array, for models)
@@ -29,7 +29,7 @@ def decided(docs: DataFrame, policy: Policy, *, text_col: str = "text", site: st
     """docs with decisions and entity_counts; without a shuffle."""
     from ..plans.policy import decide
 
-    out = decide(detect(spread(docs), text_col=text_col, terms=policy.company_terms(), model=model), policy, site)
+    out = decide(detect(docs, text_col=text_col, terms=policy.company_terms(), model=model), policy, site)
     kinds = F.transform("decisions", lambda d: d["entity_type"])
     counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda t: F.struct(t, F.size(F.filter(kinds, lambda x: x == t)).cast("long"))))
     return out.drop("cf_clean", "cf_source", "cf_spans").withColumn("entity_counts", counts)
