@@ -184,10 +184,10 @@ def _words(lines: DataFrame, name: str = "tokens") -> Column:
 
 
 def _table(buckets: DataFrame, size: int) -> np.ndarray:
-    """Rows (at, value byte), at most `size`, as an array."""
+    """Rows (at, byte, 128 less than the value), at most `size`, as an array."""
     out = np.zeros(size, np.uint8)
     for batch in buckets.toArrow().to_batches():
-        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint8)
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint8) ^ 0x80
     return out
 
 
@@ -195,7 +195,7 @@ def _rarity(firsts: DataFrame) -> np.ndarray:
     """Counts of tokens by hash bucket over all first lines, on a logarithmic scale."""
     at = F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("at")
     counts = firsts.select(F.explode(_words(firsts)).alias("token")).groupBy(at).agg(F.count("*").alias("n"))
-    return _table(counts.select("at", F.least(F.floor(F.log2(F.col("n") + 1) * STEPS), F.lit(255)).cast("int").cast("byte").alias("level")), BUCKETS)
+    return _table(counts.select("at", (F.least(F.floor(F.log2(F.col("n") + 1) * STEPS), F.lit(255)).cast("int") - 128).cast("byte").alias("level")), BUCKETS)
 
 
 def _prefixes(firsts: DataFrame, rarity, threshold: float, wanted=None) -> DataFrame:
