@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct words, lower-cased and split at white space. A line is removed if an earlier line has a
-Jaccard similarity of at least `threshold`, whether or not that one is removed itself. Lines are ordered by (id, line number),
-then by a hash of their tokens.
+A line's tokens are its distinct words, lower-cased and split at white space, as 52 bits of their hashes (a false match in some
+10**12 pairs of lines of 40 words). A line is removed if an earlier line has a Jaccard similarity of at least `threshold`,
+whether or not that one is removed itself. Lines are ordered by (id, line number), then by a hash of their tokens.
 
 1. Each batch of texts keeps the first of its equal lines (equal sets of tokens) and marks the others as removed, so that a
    line which a third of all texts hold travels once a batch. What is kept is dealt by a 128-bit digest and written in
@@ -49,11 +49,46 @@ HOT = 1 << 16
 LONG_RUN = 4_096
 #: A rarity of n lines is kept as the whole part of this times log2(n + 1).
 STEPS = 7.9
-LINES = T.StructType([T.StructField(n, t) for n, t in (("d", T.LongType()), ("d2", T.LongType()), ("id", T.LongType()), ("no", T.IntegerType()), ("row", T.LongType()), ("n", T.IntegerType()), ("tokens", T.StringType()), ("gone", T.ArrayType(T.IntegerType())))])
+LINES = T.StructType([T.StructField(n, t) for n, t in (("d", T.LongType()), ("d2", T.LongType()), ("id", T.LongType()), ("no", T.IntegerType()), ("row", T.LongType()), ("n", T.IntegerType()), ("tokens", T.BinaryType()), ("gone", T.ArrayType(T.IntegerType())))])
 
 
-def tokens_of(line: str) -> list[str]:
-    return sorted(set(line.lower().split()))
+class Hashes(dict):
+    """52 bits of the hash of each word; a bounded number of words is remembered."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        value = xxhash.xxh64_intdigest(word.encode("utf-8")) >> 12
+        if len(self) < 1 << 18:
+            self[word] = value
+        return value
+
+
+def packed(values: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """Sets of 52-bit numbers, in 7 bytes each."""
+    data = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((np.r_[0, np.cumsum(sizes)] * 7).astype(np.int32)), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all sets, and the size of each."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].reshape(-1, 7)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :7] = raw
+    return out.view("<u8").ravel(), np.diff(ends) // 7
+
+
+def sets_of(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each list of 52-bit numbers sorted and without repeats."""
+    out, counts, at = [], [], np.r_[0, np.cumsum(sizes)]
+    for lo in range(0, len(sizes), 4096):
+        many = sizes[lo : lo + 4096]
+        key = np.sort(np.repeat(np.arange(len(many), dtype=np.uint64), many) << np.uint64(52) | values[at[lo] : at[min(lo + 4096, len(sizes))]])
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+        out.append(key & np.uint64((1 << 52) - 1))
+        counts.append(np.bincount((key >> np.uint64(52)).astype(np.int64), minlength=len(many)))
+    return np.concatenate([np.empty(0, np.uint64), *out]), np.concatenate([np.empty(0, np.int64), *counts])
 
 
 def prefix_length(n: int, threshold: float = THRESHOLD) -> int:
@@ -123,45 +158,57 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
     """As LINES: of each batch the first of its equal lines, and for each text the numbers of its others (gone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
+        hashed = Hashes().__getitem__
         for batch in batches:
-            first: dict[bytes, tuple] = {}  # digest -> place, size, words
-            known: dict[str, tuple[bytes, int, str] | None] = {}  # of lines as they stand
-            gone: dict[tuple[int, int], set[int]] = {}
-            for key, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            known: dict[str, int] = {}  # of lines as they stand
+            words, sizes, which, doc, nos = [], [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 if text is None:
                     continue
                 for no, line in enumerate(text.split("\n")):
-                    hit = known.get(line, 0)
-                    if hit == 0:
-                        words = tokens_of(line)
-                        joined = " ".join(words)
-                        hit = known[line] = (xxhash.xxh3_128_digest(joined.encode("utf-8")), len(words), joined) if len(words) >= min_words else None
-                    if hit is None:
-                        continue
-                    place, seen = (key, no, row), first.get(hit[0])
-                    if seen is None:
-                        first[hit[0]] = (place, hit[1], hit[2])
-                    elif place < seen[0]:
-                        first[hit[0]] = (place, hit[1], hit[2])
-                        gone.setdefault((seen[0][0], seen[0][2]), set()).add(seen[0][1])
-                    elif place > seen[0]:
-                        gone.setdefault((key, row), set()).add(no)
-            yield line_batch([(d, *place, n, words) for d, (place, n, words) in first.items()], gone, pa.string())
+                    at = known.get(line)
+                    if at is None:
+                        parts = line.lower().split()
+                        at = known[line] = len(sizes) if parts else -1
+                        if parts:
+                            words += map(hashed, parts)
+                            sizes.append(len(parts))
+                    if at >= 0:
+                        which.append(at)
+                        doc.append(i)
+                        nos.append(no)
+            values, sizes = sets_of(np.array(words, np.uint64), np.array(sizes, np.int64))
+            which, doc, nos = (np.array(x, np.int64) for x in (which, doc, nos))
+            some = sizes[which] >= min_words
+            yield batch_of_lines(values, sizes, which[some], batch.column(0).to_numpy()[doc[some]], nos[some], batch.column(1).to_numpy()[doc[some]])
 
     rows = docs.select(order_id(docs, id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, LINES)
 
 
-def line_batch(firsts: list[tuple], gone: dict[tuple[int, int], set[int]], kind: pa.DataType) -> pa.RecordBatch:
-    """First lines (digest, id, no, row, n, tokens), and (id, row) with the numbers of removed lines, as one batch."""
-    digests, ids, nos, rows, sizes, words = (list(c) for c in zip(*firsts, strict=True)) if firsts else ([],) * 6
-    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    m, more = len(firsts), len(gone)
+def batch_of_lines(values: np.ndarray, sizes: np.ndarray, which: np.ndarray, ids: np.ndarray, nos: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Of lines at (id, no, row), each with a set of tokens: the first line of each set, and (id, row) with the numbers of others."""
+    import xxhash
+
+    sets, ends = packed(values, sizes), np.r_[0, np.cumsum(sizes)] * 7
+    data = memoryview(sets.buffers()[2])
+    halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    _, same = np.unique(halves, axis=0, return_inverse=True) if len(halves) else (None, np.empty(0, np.int64))
+    at = np.lexsort((rows, nos, ids, same.ravel()[which]))
+    which, ids, nos, rows = which[at], ids[at], nos[at], rows[at]
+    group = same.ravel()[which]
+    new = np.r_[True, group[1:] != group[:-1]] if len(group) else np.empty(0, bool)
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    other = (ids != ids[lead]) | (nos != nos[lead]) | (rows != rows[lead])
+    gone: dict[tuple[int, int], set[int]] = {}
+    for key, row, no in zip(ids[other].tolist(), rows[other].tolist(), nos[other].tolist(), strict=True):
+        gone.setdefault((key, row), set()).add(no)
+    first, m, more = which[new], int(new.sum()), len(gone)
+    own = lambda a, kind: pa.concat_arrays([pa.array(a, kind), pa.nulls(more, kind)])
+    both = lambda a, k: pa.array(np.r_[a, np.array([g[k] for g in gone], np.int64)], pa.int64())
     cols = [
-        pa.array(np.r_[halves[:, 0], np.array([r for _, r in gone], np.int64)], pa.int64()), pa.array([*halves[:, 1].tolist(), *[None] * more], pa.int64()), pa.array([*ids, *(i for i, _ in gone)], pa.int64()), pa.array([*nos, *[None] * more], pa.int32()),
-        pa.array([*rows, *(r for _, r in gone)], pa.int64()), pa.array([*sizes, *[None] * more], pa.int32()), pa.array([*words, *[None] * more], kind), pa.array([*[None] * m, *map(sorted, gone.values())], pa.list_(pa.int32())),
+        both(halves[first, 0], 1), own(halves[first, 1], pa.int64()), both(ids[new], 0), own(nos[new], pa.int32()), both(rows[new], 1), own(sizes[first], pa.int32()),
+        pa.concat_arrays([sets.take(pa.array(first)), pa.nulls(more, pa.binary())]), pa.array([*[None] * m, *map(sorted, gone.values())], pa.list_(pa.int32())),
     ]
     return pa.RecordBatch.from_arrays(cols, names=LINES.names)
 
@@ -178,11 +225,6 @@ def ranked(lines: DataFrame) -> DataFrame:
 # --- the join -------------------------------------------------------------------------------------
 
 
-def _words(lines: DataFrame, name: str = "tokens") -> Column:
-    """A column of tokens as an array: text with spaces between them, or an array already."""
-    return F.col(name) if isinstance(lines.schema[name].dataType, T.ArrayType) else F.split(name, " ")
-
-
 def _table(buckets: DataFrame, size: int) -> np.ndarray:
     """Rows (at, byte, 128 less than the value), at most `size`, as an array."""
     out = np.zeros(size, np.uint8)
@@ -193,8 +235,15 @@ def _table(buckets: DataFrame, size: int) -> np.ndarray:
 
 def _rarity(firsts: DataFrame) -> np.ndarray:
     """Counts of tokens by hash bucket over all first lines, on a logarithmic scale."""
-    at = F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("at")
-    counts = firsts.select(F.explode(_words(firsts)).alias("token")).groupBy(at).agg(F.count("*").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            np.add.at(out, (unpacked(batch.column(0))[0] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at])], names=["at", "n"])
+
+    counts = firsts.select("tokens").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
     return _table(counts.select("at", (F.least(F.floor(F.log2(F.col("n") + 1) * STEPS), F.lit(255)).cast("int") - 128).cast("byte").alias("level")), BUCKETS)
 
 
@@ -209,16 +258,14 @@ def _prefixes(firsts: DataFrame, rarity, threshold: float, wanted=None) -> DataF
         for batch in batches:
             ids, nos, ds = (batch.column(i).to_numpy() for i in (0, 1, 2))
             for lo in range(0, batch.num_rows, 4096):
-                lists = batch.column(3).slice(lo, 4096)
-                sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-                h = lists.flatten().to_numpy().view(np.uint64)
+                h, sizes = unpacked(batch.column(3).slice(lo, 4096))
                 line = np.repeat(np.arange(len(sizes)), sizes)
                 starts = np.cumsum(sizes) - sizes
                 level = levels[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                bit, half = np.uint64(1) << (h >> np.uint64(58)), h >> np.uint64(57) & np.uint64(1)
+                bit, half = np.uint64(1) << (h >> np.uint64(46)), h >> np.uint64(45) & np.uint64(1)
                 sig, sig2 = (np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), starts) for k in (0, 1))
                 # The rarest first, then by 44 bits of the hash, which are the token from here on: one order for all lines.
-                key = np.sort(line.astype(np.uint64) << np.uint64(52) | level.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
+                key = np.sort(line.astype(np.uint64) << np.uint64(52) | level.astype(np.uint64) << np.uint64(44) | h >> np.uint64(8))
                 meet, level = key & np.uint64((1 << 44) - 1), (key >> np.uint64(44)).astype(np.uint8).astype(np.int64)
                 pos = np.arange(len(h)) - np.repeat(starts, sizes)
                 last = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64)  # the last place of each prefix
@@ -241,8 +288,7 @@ def _prefixes(firsts: DataFrame, rarity, threshold: float, wanted=None) -> DataF
                 cols = (meet.view(np.int64), ids[lo + line], shape, ds[lo + line], sig[line].view(np.int64), sig2[line].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["meet", "id", "shape", "d", "sig", "sig2"])
 
-    hashed = F.transform(_words(firsts), lambda t: F.xxhash64(t))
-    return firsts.select("id", "no", "d", hashed.alias("h")).mapInArrow(run, "meet long, id long, shape long, d long, sig long, sig2 long")
+    return firsts.select("id", "no", "d", "tokens").mapInArrow(run, "meet long, id long, shape long, d long, sig long, sig2 long")
 
 
 def _links(prefixes: DataFrame, threshold: float) -> DataFrame:
@@ -281,10 +327,20 @@ def _verified(links: DataFrame, firsts: DataFrame, threshold: float) -> DataFram
     """d, d2, held: whether a link of the line holds, by the tokens themselves."""
     pairs = links.join(firsts.select(F.col("d").alias("early"), F.col("tokens").alias("b")), "early").select("late", "b")
     pairs = pairs.join(firsts.select(F.col("d").alias("late"), "d2", F.col("tokens").alias("a")), "late")
-    a, b = _words(pairs, "a"), _words(pairs, "b")
-    both = F.size(F.array_intersect(a, b))
-    holds = both >= threshold * (F.size(a) + F.size(b) - both) - 1e-9
-    return pairs.select(F.col("late").alias("d"), "d2", holds.alias("held")).groupBy("d", "d2").agg(F.max("held").alias("held"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for lo in range(0, batch.num_rows, 4096):
+                (a, n), (b, m) = (unpacked(batch.column(c).slice(lo, 4096)) for c in (2, 3))
+                of = lambda v, sizes: np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(52) | v
+                key = np.sort(np.r_[of(a, n), of(b, m)])
+                both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(52)).astype(np.int64), minlength=len(n))
+                held.append(both >= threshold * (n + m - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.empty(0, bool), *held]))], names=["d", "d2", "held"])
+
+    found = pairs.select(F.col("late").alias("d"), "d2", "a", "b").mapInArrow(compare, "d long, d2 long, held boolean")
+    return found.groupBy("d", "d2").agg(F.max("held").alias("held"))
 
 
 def _retry(missed: DataFrame, firsts: DataFrame, rarity, threshold: float) -> DataFrame:

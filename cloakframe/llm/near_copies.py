@@ -1,6 +1,6 @@
 """Near copies of documents: exact Jaccard similarity of word shingles, by the set-similarity join of line_dedup.
 
-A document's tokens are the 64-bit hashes of its distinct runs of `words` words, lower-cased (A-Z) and split at ASCII white
+A document's tokens are 52 bits of the hashes of its distinct runs of `words` words, lower-cased (A-Z) and split at ASCII white
 space. A document goes if an earlier one, in the order of (id, hash of the text), has a Jaccard similarity of at least
 `threshold`, whether or not that one goes itself: no two documents that stay are that similar.
 
@@ -17,50 +17,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import line_dedup
 from .common import discard, order_id, ship, text_of, written
 
 WORDS, THRESHOLD = 5, 0.8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-SETS = T.StructType([T.StructField(f.name, T.ArrayType(T.LongType()) if f.name == "tokens" else f.dataType) for f in line_dedup.LINES])
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the runs of words."""
+    """Sorted distinct hashes of the runs of words, 52 bits of each."""
     import xxhash
 
     parts = text.encode("utf-8").translate(_LOWER).split()
     runs = {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else ()
-    return np.unique(np.array([xxhash.xxh64_intdigest(r) for r in runs], np.uint64).view(np.int64))
+    return np.unique(np.array([xxhash.xxh64_intdigest(r) for r in runs], np.uint64) >> np.uint64(12))
 
 
 def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """As line_dedup's lines, one for each document; the later ones of equal documents of a batch as gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            first: dict[bytes, tuple] = {}
-            known: dict[str, tuple[bytes, np.ndarray]] = {}
-            gone: dict[tuple[int, int], set[int]] = {}
-            for key, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (hit := known.get(text)) is None:
-                    own = shingles(text, words)
-                    hit = known[text] = (xxhash.xxh3_128_digest(own.tobytes()), own)
-                place, seen = (key, 0, row), first.get(hit[0])
-                if seen is None or place < seen[0]:
-                    first[hit[0]] = (place, hit[1])
-                    if seen is not None:
-                        gone[seen[0][0], seen[0][2]] = {0}
-                elif place > seen[0]:
-                    gone[key, row] = {0}
-            yield line_dedup.line_batch([(d, *place, len(own), own) for d, (place, own) in first.items()], gone, pa.list_(pa.int64()))
+            known: dict[str, int] = {}
+            sets, which = [], []
+            for text in batch.column(2).to_pylist():
+                at = known.get(text)
+                if at is None:
+                    at = known[text] = len(sets)
+                    sets.append(shingles(text, words))
+                which.append(at)
+            values, sizes = np.concatenate([np.empty(0, np.uint64), *sets]), np.array([len(x) for x in sets], np.int64)
+            yield line_dedup.batch_of_lines(values, sizes, np.array(which, np.int64), batch.column(0).to_numpy(), np.zeros(len(which), np.int64), batch.column(1).to_numpy())
 
     rows = docs.select(order_id(docs, id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("row"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, SETS)
+    return rows.mapInArrow(run, line_dedup.LINES)
 
 
 def drop_near_copies(docs: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
