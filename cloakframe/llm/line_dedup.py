@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct words, lower-cased and split at white space, as 52 bits of their hashes (a false match in some
+A line's tokens are its distinct words, lower-cased and split at white space, as 52 bits of a hash each (a false match in some
 10**12 pairs of lines of 40 words). A line is removed if an earlier line has a Jaccard similarity of at least `threshold`,
 whether or not that one is removed itself. Lines are ordered by (id, line number), then by a hash of their tokens.
 
@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words
 from .common import bucketed, discard, order_id, ship, text_of, written
 
 THRESHOLD, MIN_WORDS = 0.8, 1
@@ -52,18 +53,6 @@ STEPS = 7.9
 LINES = T.StructType([T.StructField(n, t) for n, t in (("d", T.LongType()), ("d2", T.LongType()), ("id", T.LongType()), ("no", T.IntegerType()), ("row", T.LongType()), ("n", T.IntegerType()), ("tokens", T.BinaryType()), ("gone", T.ArrayType(T.IntegerType())))])
 
 
-class Hashes(dict):
-    """52 bits of the hash of each word; a bounded number of words is remembered."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        value = xxhash.xxh64_intdigest(word.encode("utf-8")) >> 12
-        if len(self) < 1 << 18:
-            self[word] = value
-        return value
-
-
 def packed(values: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
     """Sets of 52-bit numbers, in 7 bytes each."""
     data = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
@@ -158,45 +147,46 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
     """As LINES: of each batch the first of its equal lines, and for each text the numbers of its others (gone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Hashes().__getitem__
         for batch in batches:
-            known: dict[str, int] = {}  # of lines as they stand
-            words, sizes, which, doc, nos = [], [], [], [], []
+            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            parts, size, lo = [], 0, 0
             for i, text in enumerate(batch.column(2).to_pylist()):
-                if text is None:
-                    continue
-                for no, line in enumerate(text.split("\n")):
-                    at = known.get(line)
-                    if at is None:
-                        parts = line.lower().split()
-                        at = known[line] = len(sizes) if parts else -1
-                        if parts:
-                            words += map(hashed, parts)
-                            sizes.append(len(parts))
-                    if at >= 0:
-                        which.append(at)
-                        doc.append(i)
-                        nos.append(no)
-            values, sizes = sets_of(np.array(words, np.uint64), np.array(sizes, np.int64))
-            which, doc, nos = (np.array(x, np.int64) for x in (which, doc, nos))
-            some = sizes[which] >= min_words
-            yield batch_of_lines(values, sizes, which[some], batch.column(0).to_numpy()[doc[some]], nos[some], batch.column(1).to_numpy()[doc[some]])
+                parts.append(text)
+                size += len(text or "")
+                if size >= words.BLOCK or i + 1 == batch.num_rows:
+                    yield lines_of(parts, ids[lo : i + 1], rows[lo : i + 1], min_words)
+                    parts, size, lo = [], 0, i + 1
 
     rows = docs.select(order_id(docs, id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, LINES)
 
 
+def lines_of(texts: list[str | None], ids: np.ndarray, rows: np.ndarray, min_words: int) -> pa.RecordBatch:
+    doc = np.array([i for i, t in enumerate(texts) if t is not None], np.int64)
+    whole = [t for t in texts if t is not None]
+    many = np.array([t.count("\n") + 1 for t in whole], np.int64)
+    data = words.plain_spaces("\n".join(whole)).lower().encode("utf-8")
+    values, places = words.word_hashes(data, words.MORE_SPACES)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), places)
+    values, sizes = sets_of(values >> np.uint64(12), np.bincount(line, minlength=int(many.sum())))
+    nos = np.arange(len(sizes)) - np.repeat(np.cumsum(many) - many, many)
+    which = np.flatnonzero(sizes >= max(1, min_words))
+    own = np.repeat(doc, many)[which]
+    return batch_of_lines(values, sizes, which, ids[own], nos[which], rows[own])
+
+
 def batch_of_lines(values: np.ndarray, sizes: np.ndarray, which: np.ndarray, ids: np.ndarray, nos: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     """Of lines at (id, no, row), each with a set of tokens: the first line of each set, and (id, row) with the numbers of others."""
     import xxhash
 
     sets, ends = packed(values, sizes), np.r_[0, np.cumsum(sizes)] * 7
     data = memoryview(sets.buffers()[2])
-    halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]), np.int64).reshape(-1, 2)
-    _, same = np.unique(halves, axis=0, return_inverse=True) if len(halves) else (None, np.empty(0, np.int64))
-    at = np.lexsort((rows, nos, ids, same.ravel()[which]))
+    digests = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    halves, seen = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), {}
+    same = np.array([seen.setdefault(x, len(seen)) for x in digests], np.int64)
+    at = np.lexsort((rows, nos, ids, same[which]))
     which, ids, nos, rows = which[at], ids[at], nos[at], rows[at]
-    group = same.ravel()[which]
+    group = same[which]
     new = np.r_[True, group[1:] != group[:-1]] if len(group) else np.empty(0, bool)
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     other = (ids != ids[lead]) | (nos != nos[lead]) | (rows != rows[lead])

@@ -319,6 +319,28 @@ def test_ids_of_any_kind_and_repeats(spark):
     assert got == [(7, two, 0), (7, two, 0), (8, "", 2)]
 
 
+def test_word_hashes(monkeypatch):
+    from cloakframe.llm import words
+
+    rng = random.Random(3)
+    data = "".join(rng.choice(["ab", "b", "é", " ", "\n", "\t", "文", "xyz"]) for _ in range(4_000)).encode()
+    whole, places = words.word_hashes(data)
+    parts = data.split()
+    assert [data[p : p + len(w)] for p, w in zip(places, parts)] == parts and len(places) == len(parts)
+    by = {}
+    assert all(by.setdefault(w, h) == h for w, h in zip(parts, whole.tolist())) and len(set(by.values())) == len(by)
+    monkeypatch.setattr(words, "BLOCK", 7)
+    small, _ = words.word_hashes(data)
+    assert (small == whole).all()
+    odd = "a\u3000b\x1cc\u00a0d e"
+    assert words.plain_spaces(odd).replace("\x1c", " ").split(" ") == odd.split()
+    many = np.array([0, 3, 40, 0, 5, 1, 9])
+    runs, each = words.run_hashes(whole[: many.sum()], many, 5)
+    assert each.tolist() == [0, 1, 36, 0, 1, 1, 5]
+    alone = [words.run_hashes(whole[e - n : e], np.array([n]), 5)[0].tolist() for e, n in zip(np.cumsum(many), many)]
+    assert runs.tolist() == sum(alone, [])
+
+
 def test_short_lines_are_deduplicated(spark):
     rows = [(1, "Les.\nErheed. Titionly.\n\n \n文書の一行目です\na b c d"), (2, "les.\nTitionly. Erheed.\nLes. Les.\n\nother"), (3, "文書の一行目です\nb c a\nd c b a e"), (4, "Les\nc b a")]
     got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -396,7 +418,7 @@ def test_near_copies_equal_brute_force(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()]
-    sets = lambda t: frozenset(near_copies.shingles(t or "").tolist())
+    sets = lambda t: frozenset(near_copies.shingles([t or ""])[0].tolist())
     like = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
     kept = [sets(t) for _, t in left]
     assert not any(like(a, b) for i, a in enumerate(kept) for b in kept[:i])
