@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,22 +92,3 @@ def splice(text: Column, cuts: Column) -> Column:
 def hmac_sha256(inner: Column, outer: Column, message: Column) -> Column:
     """HMAC as hex, from the key's inner and outer pads as binary columns."""
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
-
-
-def map_back(where: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """Offsets of the canonical text as offsets of the source; a null map is the identity."""
-    return F.coalesce(F.element_at(where, start + 1), start), F.coalesce(F.element_at(where, end) + 1, end)
-
-
-def ocr_fold(value: Column) -> Column:
-    return F.translate(value, "oilsb", "01158")
-
-
-def reason(detector: Column, score: Column, dial: int, threshold: Column) -> Column:
-    return F.format_string(f"%s score=%.2f dial={dial} threshold=%.2f", detector, score, threshold)
-
-
-def term_pattern(term: str) -> str:
-    """Pattern of a company term: gaps between words may be anything or nothing; a short term must stand alone."""
-    body = r"[\s_-]*".join(re.escape(w) for w in term.split())
-    return f"(?Uiu){body}" if sum(c.isalnum() for c in term) >= spec.LONG_TERM else rf"(?Uiu)(?<![^\W_]){body}(?![^\W_])"

@@ -6,8 +6,12 @@ words of a window, scored word ranges; nothing is claimed for names without it.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,38 +27,29 @@ Predict = Callable[[list[str]], list[tuple[int, int, str, float]]]
 
 
 def windows(lengths: list[int], budget: int = WINDOW, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Ranges of words of at most `budget` tokens. The next range begins inside the last, by at most `overlap` tokens,
-    unless a word too long to be a name, which no range holds, lies between."""
+    """Ranges of words of at most `budget` tokens. A word too long to be a name is in none and ends a stretch; within a stretch
+    the next range begins inside the last, by at most `overlap` tokens. Ends and beginnings are looked up in running sums."""
+    sums = [0, *accumulate(lengths)]
+    edges = [-1, *(i for i, n in enumerate(lengths) if n > LONG_WORD), len(lengths)]
     out: list[tuple[int, int]] = []
-    at = 0
-    while at < len(lengths):
-        if lengths[at] > LONG_WORD:
-            at += 1
-            continue
-        room, end = budget, at
-        while end < len(lengths) and lengths[end] <= min(LONG_WORD, room):
-            room -= lengths[end]
-            end += 1
-        end = max(end, at + 1)
-        out.append((at, end))
-        if end == len(lengths) or lengths[end] > LONG_WORD:
-            at = end
-            continue
-        shared, back = 0, end
-        while back - 1 > at and shared + lengths[back - 1] <= overlap:
-            back -= 1
-            shared += lengths[back]
-        at = back
+    for before, stop in pairwise(edges):
+        at = before + 1
+        while at < stop:
+            end = min(stop, max(at + 1, bisect_right(sums, sums[at] + budget) - 1))
+            out.append((at, end))
+            at = stop if end == stop else max(at + 1, bisect_left(sums, sums[end] - overlap))
     return out
 
 
 def best_apart(spans: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """The best spans, none of which overlaps a better one that was taken."""
+    """The best spans, none of which overlaps a better one that was taken. Taken ones are disjoint, so a look at the two
+    neighbours of a place tells."""
     taken: list[tuple[int, int, float]] = []
     for s in sorted(spans, key=lambda s: (-s[2], s[0], s[1])):
-        if not any(s[0] < t[1] and t[0] < s[1] for t in taken):
-            taken.append(s)
-    return sorted(taken)
+        at = bisect_left(taken, s)
+        if (at == 0 or taken[at - 1][1] <= s[0]) and (at == len(taken) or s[1] <= taken[at][0]):
+            taken.insert(at, s)
+    return taken
 
 
 def spans_of(text: str, predict: Predict, tokens: Callable[[list[str]], list[int]], budget: int = WINDOW) -> list[tuple[int, int, str, float]]:
@@ -78,3 +73,11 @@ def model_spans(load: Callable[[], tuple[Predict, Callable[[list[str]], list[int
             yield pd.Series([[{"start": s, "end": e, "entity_type": k, "score": p, "detector": "model", "validated": False} for s, e, k, p in spans_of(t or "", predict, tokens, budget)] for t in texts])
 
     return run
+
+
+def verified_model(path: str | Path, sha256: str) -> bytes:
+    """The content of a model file whose SHA-256 is as expected; else it raises, and nothing of the file is used."""
+    data = Path(path).read_bytes()
+    if hashlib.sha256(data).hexdigest() != sha256.lower():
+        raise ValueError("a model file doesn't have the expected SHA-256")
+    return data

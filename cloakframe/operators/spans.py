@@ -1,10 +1,14 @@
-"""Operations on the spans of one text, as expressions on arrays (no shuffle) and as relations of span rows."""
+"""Operations on the spans of one text, on arrays (no shuffle) and as relations of span rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions.columns import SPAN
 from ..plans import spec
 
@@ -15,80 +19,41 @@ def span(start: Column, end: Column, entity: Column, score: Column, detector: Co
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), entity.alias("entity_type"), score.cast("double").alias("score"), detector.alias("detector"), validated.alias("validated"))
 
 
-def hold(value: Column) -> Column:
-    """The value, with a condition that is always true and that the optimizer cannot see through. A filter on it (also the
-    one that explode() implies) is then not pushed below its projection, where it would repeat the whole expression,
-    layer by layer."""
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+def _on_arrays(f, kind: str, arrow: pa.DataType):
+    """A column function from a function of Python values; arrays of spans come as lists of tuples."""
 
+    @F.arrow_udf(kind)
+    def run(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for cols in parts:
+            rows = zip(*(c.to_pylist() for c in (cols if isinstance(cols, tuple) else (cols,))), strict=True)
+            made = [None if None in r else f(*[[tuple(x.values()) for x in v] if isinstance(v, list) else v for v in r]) for r in rows]
+            yield pa.array([m and [dict(zip(NAMES, x, strict=True)) if isinstance(x, tuple) else x for x in m] for m in made], arrow)
 
-def _rank(s: Column) -> Column:
-    """Better spans are smaller: score, then earlier, then longer, then by detector."""
-    return F.struct(-s["score"], s["start"], s["start"] - s["end"], s["detector"])
+    return run
 
 
-def without_contained(spans: Column) -> Column:
-    """Spans that no better span of their type covers. Containment is transitive, so it is enough to look at all better ones."""
-    covered = lambda s: F.exists(spans, lambda r: (r["entity_type"] == s["entity_type"]) & (r["start"] <= s["start"]) & (r["end"] >= s["end"]) & (_rank(r) < _rank(s)))
-    return F.when(F.size(spans) > 1, F.array_distinct(F.filter(spans, lambda s: (s["score"] > 0) & ~covered(s)))).otherwise(F.filter(spans, lambda s: s["score"] > 0))
+NAMES = ("start", "end", "entity_type", "score", "detector", "validated")
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("score", pa.float64()), ("detector", pa.string()), ("validated", pa.bool_())]))
 
 
-def table_headers(text: Column) -> Column:
-    """For each line of the text the number of the first line of its run of lines that hold "|"."""
-    lines = F.split(text, "\n", -1)
-    step = lambda acc, line: F.struct(
-        (acc["i"] + 1).alias("i"), F.when(line.contains("|"), F.when(acc["top"] >= 0, acc["top"]).otherwise(acc["i"])).otherwise(F.lit(-1)).alias("top"),
-        F.concat(acc["out"], F.array(F.when(line.contains("|"), F.when(acc["top"] >= 0, acc["top"]).otherwise(acc["i"])).otherwise(F.lit(-1)))).alias("out"),
-    )
-    return F.aggregate(lines, F.struct(F.lit(0).alias("i"), F.lit(-1).alias("top"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
+def without_contained(spans: Column) -> Column:
+    """Spans that no better span of their type covers."""
+    return _on_arrays(scan.without_contained, NONE, SPANS)(spans)
 
 
-def header_cell(text: Column, tops: Column, start: Column) -> Column:
-    """The header cell of the table column that an offset lies in; "" outside tables."""
-    lines, before = F.split(text, "\n", -1), F.split(F.substring(text, F.lit(1), start), "\n", -1)
-    top = F.element_at(tops, F.size(before))
-    column = F.length(F.regexp_replace(F.regexp_replace(F.trim(F.element_at(before, -1)), r"^\|+", ""), r"[^|]", ""))
-    cells = F.split(F.regexp_replace(F.trim(F.element_at(lines, top + 1)), r"^\|+|\|+$", ""), r"\|", -1)
-    return F.when(top >= 0, F.coalesce(F.get(cells, column), F.lit(""))).otherwise(F.lit(""))
+def merge(spans: Column) -> Column:
+    """Spans that overlap become one; see scan.merged."""
+    return _on_arrays(scan.merged, NONE, SPANS)(spans)
 
 
-def with_cues(text: Column, spans: Column, tops: Column) -> Column:
+def with_cues(text: Column, spans: Column) -> Column:
     """Weak spans lifted where a cue stands shortly before them or heads their table column."""
+    return _on_arrays(lambda t, s: scan.scanner((), ()).with_cues(t, s), NONE, SPANS)(text, spans)
 
-    def lift(s: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - spec.CUE_WINDOW), F.least(F.lit(spec.CUE_WINDOW), s["start"]))
-        head = F.when(tops.isNotNull(), header_cell(text, tops, s["start"])).otherwise(F.lit(""))
-        hit = F.lit(False)
-        for entity, cue in spec.CUES.items():
-            p = f"(?Uiu){cue}"
-            hit = hit | ((s["entity_type"] == entity) & (before.rlike(p) | head.rlike(p)))
-        return F.when((s["score"] < spec.CUE_SCORE) & hit, span(s["start"], s["end"], s["entity_type"], F.lit(spec.CUE_SCORE), F.concat(s["detector"], F.lit(".context")), s["validated"])).otherwise(s)
-
-    return F.transform(spans, lift)
 
-
-def with_joined_addresses(text: Column, spans: Column) -> Column:
-    """The spans and, for each two neighbouring addresses on one line at most ADDRESS_GAP apart, one over both."""
-    parts = F.array_sort(F.filter(spans, lambda s: s["entity_type"] == "ADDRESS"))
-    pairs = F.zip_with(parts, F.slice(parts, 2, 1_000_000_000), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    near = F.filter(pairs, lambda p: p["b"].isNotNull() & (p["b"]["start"] - p["a"]["end"] > 0) & (p["b"]["start"] - p["a"]["end"] <= spec.ADDRESS_GAP) & ~F.substring(text, p["a"]["end"] + 1, p["b"]["start"] - p["a"]["end"]).contains("\n"))
-    return F.concat(spans, F.transform(near, lambda p: span(p["a"]["start"], p["b"]["end"], F.lit("ADDRESS"), F.greatest(p["a"]["score"], p["b"]["score"]), F.lit("address.join"), F.lit(False))))
-
-
-def merge(spans: Column) -> Column:
-    """Sorted spans that overlap become one: their union, named by the widest (then validated, higher score, type, detector).
-    Spans that only touch stay apart."""
-    key = lambda s: F.struct(s["end"] - s["start"], s["validated"], s["score"], s["entity_type"], s["detector"])
-    kind = "struct<start:int,end:int,best:struct<width:int,validated:boolean,score:double,entity_type:string,detector:string>>"
-    one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), key(s).alias("best")).cast(kind)
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.greatest(last["best"], one(s)["best"]).alias("best")).cast(kind)
-        return F.when((F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(one(s))))
-
-    merged = F.aggregate(F.array_sort(spans), F.array().cast(f"array<{kind}>"), step)
-    return F.transform(merged, lambda g: span(g["start"], g["end"], g["best"]["entity_type"], g["best"]["score"], g["best"]["detector"], g["best"]["validated"]))
+def table_headers(text: Column) -> Column:
+    """For each line of the text the number of the first line of its run of lines that hold "|"."""
+    return _on_arrays(scan.table_headers, "array<int>", pa.list_(pa.int32()))(text)
 
 
 # --- the same on rows ---------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.unicode import identities, subkey
-from ..session import ship
+from ..session import ship, written
 
 SCHEMA = "scope_id string, entity_type string, n int, lookup string, ciphertext binary, created_at double"
 LABEL = r"\[([A-Z](?:[A-Z_]{0,30}[A-Z])?)_([1-9][0-9]{0,8})\]"
@@ -63,14 +63,27 @@ def number(values: DataFrame, vault: DataFrame, key: bytes, now: float) -> tuple
     known = vault.select("scope_id", "entity_type", "lookup", "n")
     largest = vault.groupBy("scope_id", "entity_type").agg(F.max("n").alias("top"))
     fresh = entries.join(known, ["scope_id", "entity_type", "lookup"], "left_anti").join(largest, ["scope_id", "entity_type"], "left")
-    rank = F.row_number().over(Window.partitionBy("scope_id", "entity_type").orderBy("first"))
-    fresh = fresh.withColumn("n", (F.coalesce("top", F.lit(0)) + rank).cast("int"))
+    fresh = _ranked(fresh).withColumn("n", (F.coalesce("top", F.lit(0)) + F.col("rank")).cast("int"))
     sealed = F.aes_encrypt(F.col("value").cast("binary"), F.col("aes"), F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), _row_id().cast("binary"))
     rows = fresh.select("scope_id", "entity_type", "n", "lookup", sealed.alias("ciphertext"), F.lit(float(now)).alias("created_at"))
     numbers = known.unionByName(fresh.select("scope_id", "entity_type", "lookup", "n"))
     return named.join(numbers, ["scope_id", "entity_type", "lookup"]).select("scope", "entity_type", "value", "n"), rows
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows with rank: the place in (scope_id, entity_type) by `first`. Rows are dealt by ranges and numbered within them; what
+    earlier ranges hold of a group is added, so that no task has a whole group."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(n, "scope_id", "entity_type", "first").withColumn("part", F.spark_partition_id()), "vault")
+    group = ["scope_id", "entity_type"]
+    counts = dealt.groupBy(*group, "part").agg(F.count("*").alias("held"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, "part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*group, "part").orderBy("first"))
+    return dealt.withColumn("own", own).join(counts, [*group, "part"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "part")
+
+
 def reveal(wanted: DataFrame, vault: DataFrame, key: bytes) -> DataFrame:
     """wanted(scope, entity_type, n) with value: null for labels the vault doesn't hold; a row that was tampered with fails."""
     asked = _with_keys(wanted.select("scope", "entity_type", "n").distinct(), key).withColumn("scope_id", _mac(F.col("scope")))
@@ -82,13 +95,15 @@ def reveal(wanted: DataFrame, vault: DataFrame, key: bytes) -> DataFrame:
 def remap(texts: DataFrame, vault: DataFrame, key: bytes, *, id_col: str, text_col: str = "text", scope_col: str = "scope") -> DataFrame:
     """texts with `remapped`: labels of the row's own scope replaced by their values, others left; labels_seen, restored (counts by type)."""
     hits = C.matches(F.col(text_col), LABEL, r"\[[A-Z]")
-    each = texts.select(F.col(id_col).alias("_id"), F.col(scope_col).alias("scope"), F.explode(hits).alias("h"))
-    parts = each.select("_id", "scope", "h.start", "h.end", F.regexp_extract("h.value", LABEL, 1).alias("entity_type"), F.regexp_extract("h.value", LABEL, 2).cast("int").alias("n"))
+    own = written(texts.withColumns({"cf_row": F.monotonically_increasing_id(), "cf_hits": hits}), "remap")
+    each = own.select("cf_row", F.coalesce(F.col(scope_col).cast("string"), F.lit("\x00")).alias("scope"), F.explode("cf_hits").alias("h"))
+    parts = each.select("cf_row", "scope", "h.start", "h.end", F.regexp_extract("h.value", LABEL, 1).alias("entity_type"), F.regexp_extract("h.value", LABEL, 2).cast("int").alias("n"))
     real = parts.join(reveal(parts, vault, key), ["scope", "entity_type", "n"]).where("value is not null")
-    cuts = real.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("value").alias("sub")))).alias("cuts"), F.array_sort(F.collect_list("entity_type")).alias("types"))
-    out = texts.join(cuts, F.col(id_col) == F.col("_id"), "left")
-    restored = F.map_from_entries(F.transform(F.array_distinct("types"), lambda t: F.struct(t, F.size(F.filter("types", lambda x: x == t)))))
-    return out.withColumns({"remapped": F.when(F.col("cuts").isNull(), F.col(text_col)).otherwise(C.splice(F.col(text_col), F.col("cuts"))), "labels_seen": F.size(hits), "restored": restored}).drop("_id", "cuts", "types")
+    cuts = real.groupBy("cf_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("value").alias("sub")))).alias("cf_cuts"), F.array_sort(F.collect_list("entity_type")).alias("cf_types"))
+    out = own.join(cuts, "cf_row", "left")
+    restored = F.map_from_entries(F.transform(F.array_distinct("cf_types"), lambda t: F.struct(t, F.size(F.filter("cf_types", lambda x: x == t)))))
+    remapped = F.when(F.col("cf_cuts").isNull(), F.col(text_col)).otherwise(C.splice(F.col(text_col), F.col("cf_cuts")))
+    return out.withColumns({"remapped": remapped, "labels_seen": F.coalesce(F.size("cf_hits"), F.lit(0)), "restored": restored}).drop("cf_row", "cf_hits", "cf_cuts", "cf_types")
 
 
 def purge(vault: DataFrame, retention_days: int, now: float) -> DataFrame:

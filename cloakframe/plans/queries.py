@@ -127,7 +127,7 @@ def dob_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates count only after a cue word."""
     text = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Date of birth: ").otherwise("Delivery due: "), F.date_format("o_orderdate", "yyyy-MM-dd"))
     df = _orders_text(spark, sf_dir, text)
-    lifted = spans.with_cues(F.col("text"), rule_spans(F.col("text"), _rule("DATE_OF_BIRTH", "y-m-d")), F.lit(None).cast("array<int>"))
+    lifted = spans.with_cues(F.col("text"), rule_spans(F.col("text"), _rule("DATE_OF_BIRTH", "y-m-d")))
     return df.select("o_orderkey", F.explode(lifted).alias("s")).select("o_orderkey", "s.start", "s.end", F.round(F.col("s.score") * 100).cast("int").alias("score"), "s.detector")
 
 
@@ -205,7 +205,7 @@ def label_masked_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remap_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose labels stand for customers; labels nobody has stay."""
-    names = _read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.lit("shop").alias("scope"), F.lit("CUST").alias("entity_type"), F.col("c_name").alias("value"), F.col("c_custkey").alias("seq"))
+    names = _read(spark, sf_dir, "customer").select(F.lit("shop").alias("scope"), F.lit("CUST").alias("entity_type"), F.col("c_name").alias("value"), F.col("c_custkey").alias("seq"))
     _, rows = vault.number(names, vault.empty(spark), DEMO_KEY, 0.0)
     text = F.concat(F.lit("to [CUST_"), (F.col("o_custkey") + 1).cast("string"), F.lit("] not [CUST_01]"))
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", F.lit("shop").alias("scope"), text.alias("text"))
@@ -350,7 +350,7 @@ SQL = {
     "label_masked_emails": f"""with e as (select source, doc_id, {_EMAIL.format("text")} as v from documents), u as (select source, doc_id, unnest(range(len(v))) as i, unnest(v) as value from e),
  f as (select source, lower(value) as same, min(doc_id * 1000000 + i) as first from u group by all), r as (select *, row_number() over (partition by source order by first) as n from f)
  select distinct u.source as scope, u.value, '[EMAIL_' || r.n || ']' as label from u join r on u.source = r.source and lower(u.value) = r.same""",
-    "remap_labels": """with v as (select row_number() over (order by c_custkey) as n, c_name from customer where c_custkey % 2 = 0)
+    "remap_labels": """with v as (select row_number() over (order by c_custkey) as n, c_name from customer)
  select o_orderkey, 'to ' || coalesce(v.c_name, '[CUST_' || (o_custkey + 1) || ']') || ' not [CUST_01]' as remapped, 1::bigint as labels_seen, case when v.n is null then 0 else 1 end::bigint as restored from orders left join v on v.n = o_custkey + 1""",
     "vault_purge": "select event_type, count(*) as kept from events where floor(epoch(ts)) >= (select max(floor(epoch(ts))) from events) - 10 * 86400 group by event_type",
     "output_names": """select p_partkey, unnest(case p_partkey % 5 when 0 then ['f' || p_partkey || '.txt'] when 1 then ['f' || p_partkey || '.DOCX.md'] when 2 then ['f' || p_partkey || '.pdf', 'f' || p_partkey || '.pdf.md'] when 3 then ['f' || p_partkey || '.jpeg'] else ['f' || p_partkey || '.webp.png'] end) as output from part""",

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import stat
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.unicode import identity
-from ..operators.redact import decided
+from ..operators.redact import redact, without_labels
 from ..plans.policy import Policy
 from ..session import ship
 
@@ -21,17 +21,31 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 
 
 def files(spark: SparkSession, inbox: str, per_batch: int = 1_000) -> DataFrame:
-    """Files of a folder, top level only, each version once. Files must be renamed into the folder when they are whole."""
-    raw = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", "false").load(inbox)
-    return raw.dropDuplicates(["path", "length", "modificationTime"])
+    """Files of a folder, top level only. The source's own log takes each version (path and time) once, without state that grows
+    in memory. Files must be renamed into the folder when they are whole."""
+    return spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", "false").load(inbox)
+
+
+def texts_of(found: DataFrame) -> DataFrame:
+    """path, text, failed of files: a file that isn't UTF-8, or whose size isn't the one it was listed with (it was changed or
+    swapped meanwhile), has no text but a reason."""
+    body = F.col("content").cast("string")
+    reason = F.when(F.length("content") != F.col("length"), "changed").when(~F.is_valid_utf8(body), "not UTF-8")
+    return found.select("path", F.when(reason.isNull(), F.regexp_replace(body, "\r\n?", "\n")).alias("text"), reason.alias("failed"))
 
 
 def redact_stream(texts: DataFrame, policy: Policy, write: Callable[[DataFrame, int], None], checkpoint: str, *, text_col: str = "text", once: bool = True) -> StreamingQuery:
-    """Redacts a stream of texts batch by batch; the checkpoint keeps what is done over restarts. Labels need a vault, so
-    pseudonymised values are struck out here unless `write` numbers them."""
+    """Redacts a stream of texts batch by batch; the checkpoint keeps what is done over restarts. `write` gets the rows without
+    their text, with `redacted`, decisions, entity_counts and failed. Labels need a vault, so values that the policy would
+    number are struck out. A text that fails has a null `redacted` and a reason, and the others go on; so has one that came
+    with a reason."""
+    own = without_labels(policy)
 
     def batch(df: DataFrame, n: int) -> None:
-        write(decided(df, policy, text_col=text_col), n)
+        early = "failed" in df.columns
+        done = redact(df.withColumnRenamed("failed", "cf_early") if early else df, own, text_col=text_col, go_on=True).texts
+        failed = F.coalesce("cf_early", "failed") if early else F.col("failed")
+        write(done.withColumns({"failed": failed, "redacted": F.when(failed.isNull(), F.col("redacted"))}).drop(text_col, "cf_early"), n)
 
     writer = texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -71,23 +85,21 @@ def expire_copies(copies: DataFrame, retention_days: int, now: float, inbox: str
     return counts
 
 
-def _expire(r, cutoff: float, inbox: str | None) -> str:
-    if inbox is not None and os.path.realpath(os.path.dirname(r["path"])) == os.path.realpath(inbox):
-        return "dropped"
-    try:
-        st = os.lstat(r["path"])
-    except FileNotFoundError:
-        return "dropped"
-    except OSError:
-        return "kept"
-    if not stat.S_ISREG(st.st_mode) or (st.st_dev, st.st_ino, st.st_size, st.st_mtime_ns) != (r["dev"], r["ino"], r["size"], r["mtime_ns"]):
-        return "dropped"
-    if r["written"] >= cutoff:
-        return "kept"
+def _expire(copy: Row, cutoff: float, inbox: str | None) -> str:
+    """What becomes of one recorded copy. Only the very file that was written is ever deleted, and none from the inbox, whose
+    files are inputs; a file that can't be looked at or removed now is kept for the next time."""
+    where = Path(copy["path"])
+    identity = {"st_dev": "dev", "st_ino": "ino", "st_size": "size", "st_mtime_ns": "mtime_ns"}
     try:
-        os.unlink(r["path"])
+        seen = where.lstat()
+        ours = stat.S_ISREG(seen.st_mode) and all(getattr(seen, a) == copy[b] for a, b in identity.items())
+        if not ours or inbox and where.parent.resolve() == Path(inbox).resolve():
+            return "dropped"
+        if copy["written"] < cutoff:
+            where.unlink()
+            return "purged"
     except FileNotFoundError:
         return "dropped"
     except OSError:
-        return "kept"
-    return "purged"
+        pass
+    return "kept"

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from cloakframe.operators.redact import redact, without_labels
 from cloakframe.plans.policy import load_policy
 from cloakframe.streaming import watch
 
@@ -27,13 +29,26 @@ def test_counters_over_batches(spark, tmp_path):
 
 def test_files_are_redacted_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("SSN 123-45-6789", encoding="utf-8")
+    (tmp_path / "in" / "a.txt").write_text("SSN 123-45-6789 mail a@b.de", encoding="utf-8")
+    (tmp_path / "in" / "b.txt").write_bytes(b"\xff mail a@b.de")
     seen = []
     for _ in range(2):
-        texts = watch.files(spark, str(tmp_path / "in")).select("path", F.col("content").cast("string").alias("text"))
-        q = watch.redact_stream(texts, load_policy(), lambda df, n: seen.extend(df.select("path", F.size("decisions").alias("n")).collect()), str(tmp_path / "cp"))
+        texts = watch.texts_of(watch.files(spark, str(tmp_path / "in")))
+        q = watch.redact_stream(texts, load_policy(), lambda df, n: seen.extend(df.withColumn("name", F.element_at(F.split("path", "/"), -1)).collect()), str(tmp_path / "cp"))
         q.awaitTermination(120)
-    assert [r["n"] for r in seen] == [1]
+    assert {r["name"]: (r["redacted"], r["failed"]) for r in seen} == {"a.txt": ("SSN ***-**-**** mail ██████", None), "b.txt": (None, "not UTF-8")} and len(seen) == 2
+    assert "6789" not in str(seen) and "a@b" not in str(seen)
+
+
+def test_a_text_that_fails_does_not_stop_the_others(spark):
+    """A model that gives nonsense for one text: that text is withheld with a reason, or stops the query where asked to."""
+    df = spark.createDataFrame([(1, "a@b.de"), (2, "bad a@b.de")], "doc_id int, text string")
+    broken = lambda c: F.when(c.startswith("bad"), F.expr("array(named_struct('start', 0, 'end', 3, 'entity_type', 'EMAIL', 'score', cast(null as double), 'detector', 'x', 'validated', true))"))
+    policy = without_labels(load_policy())
+    got = {r["doc_id"]: (r["redacted"], r["failed"]) for r in redact(df, policy, go_on=True, model=broken).texts.collect()}
+    assert got == {1: ("██████", None), 2: (None, "TypeError")}
+    with pytest.raises(Exception):
+        redact(df, policy, model=broken).texts.collect()
 
 
 def test_expiry_deletes_only_unchanged_old_copies(spark, tmp_path):
