@@ -8,7 +8,7 @@
    of squared fills, until sequences empty or no step helps, or the lower bound is reached.
 
 Defined results: a null text is an empty document and gives the end token alone; repeated rows are
-packed as often as they occur (`copy` salts the hash so that one repeated id does not land in one group);
+packed as often as they occur (`copy` and the input's partition salt the hash, so that one repeated id does not land in one group);
 other columns are left out; an empty table gives an empty table.
 """
 
@@ -29,10 +29,6 @@ from . import tokenizer_files
 from .common import ship, text_of
 
 GROUP_DOCS = 8_192
-#: Passes of the local search over all underfull sequences of a group.
-PASSES = 6
-#: Steps that one sequence is given in a pass.
-STEPS = 40
 _LONG_RUN = re.compile(r"\s{1000}|\S{2000}")
 
 
@@ -79,54 +75,52 @@ class Bins:
         self.items[b].discard(i)
         self.free[b] += self.lengths[i]
 
-    def search(self, passes: int = PASSES) -> None:
-        """Empties the emptiest sequences by moves and exchanges that raise the sum of squared fills."""
+    def search(self) -> None:
+        """Empties the emptiest sequences by moves and exchanges until none is left to empty or no step helps. Each step raises
+        the sum of squared fills, which is bounded, so this ends."""
         used, least = sum(bool(x) for x in self.items), self.fewest()
-        for _ in range(passes):
-            if used <= least:
-                return
-            index = _Index(self)
+        index, changed = _Index(self), True
+        while changed and used > least:
             changed = False
             for b in sorted(index.open, key=lambda b: -self.free[b]):
                 if not self.items[b] or used <= least:
                     continue
-                before = self.free[b]
-                self._drain(b, index)
+                changed |= self._drain(b, index)
                 used -= not self.items[b]
-                changed |= self.free[b] != before
-            if not changed:
-                return
 
-    def _drain(self, b: int, index: _Index) -> None:
-        """Sends what it can of sequence b elsewhere; each step fills another sequence that is at least as full."""
+    def _drain(self, b: int, index: _Index) -> bool:
+        """Sends what it can of sequence b elsewhere, to sequences that are fuller with it than b was; whether it sent anything."""
         index.close(b)
-        again, steps = True, 0
-        while again and self.items[b] and steps < STEPS:
-            again, steps = False, steps + 1
-            mine = sorted(self.items[b], key=lambda i: -self.lengths[i])
-            for x in mine:
-                n = self.lengths[x]
-                if (to := index.room(n)) is not None:  # move
-                    index.change(to, take=(), put=(x,), source=b)
-                    again = True
-                    break
-                if hit := index.exchange(n, self.free[b]):  # one for one
-                    to, y = hit
-                    index.change(to, take=(y,), put=(x,), source=b)
-                    again = True
-                    break
-            if not again:
-                for k, x1 in enumerate(mine[:12]):
-                    for x2 in mine[k + 1 : 12]:
-                        if hit := index.exchange(self.lengths[x1] + self.lengths[x2], self.free[b]):  # two for one
-                            to, y = hit
-                            index.change(to, take=(y,), put=(x1, x2), source=b)
-                            again = True
-                            break
-                    if again:
-                        break
-        if self.items[b]:
-            index.reopen(b)
+        sent = False
+        while self.items[b] and (step := self._step(b, index)):
+            to, take, put = step
+            index.change(to, take=take, put=put, source=b)
+            sent = True
+        index.reopen(b)
+        return sent
+
+    def _step(self, b: int, index: _Index) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        """A move of a piece of b, else an exchange of one for one, else of two for one: where to, what back, what there. Pieces of
+        one length are alike, so lengths are tried and not pieces."""
+        by: dict[int, list[int]] = defaultdict(list)
+        for i in self.items[b]:
+            by[self.lengths[i]].append(i)
+        lengths = sorted(by, reverse=True)
+        for n in lengths:
+            to = index.room(n)
+            if to is not None and self.free[to] - n < self.free[b]:
+                return to, (), (by[n][0],)
+            if hit := index.exchange(n, self.free[b]):
+                return hit[0], (hit[1],), (by[n][0],)
+        sums: dict[int, tuple[int, int]] = {}
+        for k, n in enumerate(lengths):
+            for m in lengths[k + (len(by[n]) < 2) :]:
+                if n + m <= self.capacity:
+                    sums.setdefault(n + m, (by[n][0], by[m][1] if n == m else by[m][0]))
+        for total, pair in sorted(sums.items(), reverse=True):
+            if hit := index.exchange(total, self.free[b]):
+                return hit[0], (hit[1],), pair
+        return None
 
 
 class _Index:
@@ -204,11 +198,11 @@ class _Index:
         self.reopen(to)
 
 
-def pack(lengths: list[int], capacity: int, passes: int = PASSES) -> list[list[int]]:
+def pack(lengths: list[int], capacity: int) -> list[list[int]]:
     """Indices of the pieces of each sequence."""
     bins = Bins(lengths, capacity)
     bins.best_fit()
-    bins.search(passes)
+    bins.search()
     return [sorted(x) for x in bins.items if x]
 
 
@@ -249,19 +243,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, ranks_path: str | None = Non
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path, ranks_path)
-        tail, seen = np.array([end_id], "<u4"), defaultdict(int)
+        from pyspark import TaskContext
+
+        tail, copy = np.array([end_id], "<u4"), TaskContext.get().partitionId() << 40
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             for lo, hi in tokenizer_files.by_bytes(texts):
                 cols: list[list] = [[] for _ in range(7)]
                 for i, ids in zip(range(lo, hi), encode(texts[lo:hi]), strict=True):
                     ids, at = np.concatenate([ids, tail]), 0
                     for k, n in enumerate(cut_lengths(len(ids), capacity)):
                         part = ids[at : at + n]
-                        for c, v in zip(cols, (i, k, at, n, zlib.crc32(part.tobytes()), seen[keys[i]], part.astype(np.int32) if with_ids else None), strict=True):
+                        for c, v in zip(cols, (i, k, at, n, zlib.crc32(part.tobytes()), copy, part.astype(np.int32) if with_ids else None), strict=True):
                             c.append(v)
                         at += n
-                    seen[keys[i]] += 1
+                    copy += 1
                 out = [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:6])]
                 if with_ids:
                     out.append(pa.array(cols[6], pa.list_(pa.int32())))
