@@ -1,7 +1,7 @@
 """Token counts with overlap resynchronisation.
 
-Texts up to `chunk_chars` are encoded whole. Longer ones are cut into overlapping chunks that are
-encoded with offsets. Two neighbouring chunks are spliced where both give the same tokens between
+Texts of more than `chunk_chars` are cut into overlapping chunks that are encoded with offsets; a
+shorter one is a single chunk. Two neighbouring chunks are spliced where both give the same tokens between
 two stable positions (see boundaries.py) of the overlap: there neither chunk's cut edge can reach.
 Where an overlap holds no such place it is widened, doubling each time, until it swallows the chunk
 before it; a text without white space thus ends up encoded whole.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from . import boundaries, tokenizer_files
 from .common import ship, text_of
 
-CHUNK_CHARS = 65_536
-OVERLAP_CHARS = 1_024
+CHUNK_CHARS = 4_096
+OVERLAP_CHARS = 256
 
 #: Ids and (start, end) character offsets of a text's tokens.
 Encoded = tuple[list[int], list[tuple[int, int]]]
