@@ -124,46 +124,52 @@ class ChunkCodec:
         return out
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of every whole text, as the tokenizer gives them."""
-        split, out = [self.split(t) for t in texts], [None] * len(texts)
-        todo = list(range(len(texts)))
+        """The ids of every whole text, as the tokenizer gives them. Joins that were repaired stay while both of their chunks do;
+        all that fail are widened at once."""
+        split = [self.split(t) for t in texts]
+        joins: list[list[tuple | None]] = [[None] * (len(c) - 1) for c in split]
+        known: dict[str, tuple[np.ndarray, tuple[int, ...]]] = {}
+        todo = range(len(texts))
         while todo:
-            known = self._chunks([c for i in todo for c in split[i]])
-            joins, windows = [], []
-            for i in todo:
-                for k in range(len(split[i]) - 1):
-                    left, right = split[i][k], split[i][k + 1]
-                    joins.append((i, k, boundaries.last_stable(left, 2), boundaries.first_stable(right, 2)))
-                    windows.append(left[joins[-1][2][0] :] + right[: joins[-1][3][1]])
-            fixed, failed = {}, {}
-            for (i, k, (p0, p1), (q0, q1)), e in zip(joins, self._encode(windows), strict=True):
-                (lid, lat), (rid, rat), edge = known[split[i][k]], known[split[i][k + 1]], len(split[i][k]) - p0
+            known |= self._chunks([c for i in todo for c in split[i] if c not in known])
+            open_ = [(i, k) for i in todo for k, done in enumerate(joins[i]) if done is None]
+            edges = [(boundaries.last_stable(split[i][k], 2), boundaries.first_stable(split[i][k + 1], 2)) for i, k in open_]
+            windows = [split[i][k][p[0] :] + split[i][k + 1][: q[1]] for (i, k), (p, q) in zip(open_, edges, strict=True)]
+            failed: dict[int, set[int]] = {}
+            for (i, k), ((p0, p1), (q0, _)), e in zip(open_, edges, self._encode(windows), strict=True):
+                (lid, lat), (rid, rat) = known[split[i][k]], known[split[i][k + 1]]
                 ids, (a0, a1), (b0, b1) = np.array(e.ids, np.uint32), lat[-2:], rat[:2]
-                h, t = self._token_at(e, p1 - p0), self._token_at(e, edge + q0)
-                sure = min(a0, a1, b0, b1, h, t) >= 0
-                if sure and np.array_equal(ids[:h], lid[a0:a1]) and np.array_equal(ids[t:], rid[b0:b1]):
-                    fixed[i, k] = (a0, ids, b1)
+                h, t = self._token_at(e, p1 - p0), self._token_at(e, len(split[i][k]) - p0 + q0)
+                if min(a0, a1, b0, b1, h, t) >= 0 and np.array_equal(ids[:h], lid[a0:a1]) and np.array_equal(ids[t:], rid[b0:b1]):
+                    joins[i][k] = (a0, ids, b1)
                     self.repaired += 1
                 else:
-                    failed.setdefault(i, k)
-            for i in todo:
-                if i in failed:  # widen: the two chunks become one, and the text goes round again
-                    k = failed[i]
-                    split[i][k : k + 2] = [split[i][k] + split[i][k + 1]]
-                    self.widened += 1
-                    continue
-                parts, lo = [], 0
-                for k, c in enumerate(split[i]):
-                    ids = known[c][0]
-                    if (i, k) in fixed:
-                        hi, window, nxt = fixed[i, k]
-                        parts += [ids[lo:hi], window]
-                        lo = nxt
-                    else:
-                        parts.append(ids[lo:])
-                out[i] = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-            todo = [i for i in todo if i in failed]
-        return out
+                    failed.setdefault(i, set()).add(k)
+            for i, bad in failed.items():
+                split[i], joins[i] = self._widened(split[i], joins[i], bad)
+                self.widened += len(bad)
+            todo = sorted(failed)
+        return [self._spliced([known[c][0] for c in chunks], own) for chunks, own in zip(split, joins, strict=True)]
+
+    @staticmethod
+    def _widened(chunks: list[str], joins: list[tuple | None], bad: set[int]) -> tuple[list[str], list[tuple | None]]:
+        """Chunks made one across the bad joins, and the joins that are left: known where both sides are as they were."""
+        runs = [[0]]
+        for k in range(len(joins)):
+            if k in bad:
+                runs[-1].append(k + 1)
+            else:
+                runs.append([k + 1])
+        kept = [joins[a[-1]] if len(a) == len(b) == 1 else None for a, b in zip(runs, runs[1:], strict=False)]
+        return ["".join(chunks[k] for k in run) for run in runs], kept
+
+    @staticmethod
+    def _spliced(ids: list[np.ndarray], joins: list[tuple | None]) -> np.ndarray:
+        parts, lo = [], 0
+        for own, (hi, window, nxt) in zip(ids, joins, strict=False):
+            parts += [own[lo:hi], window]
+            lo = nxt
+        return np.concatenate([*parts, ids[-1][lo:]]) if ids else np.empty(0, np.uint32)
 
     def decode(self, ids: np.ndarray) -> str:
         """As the tokenizer's decode() with special tokens kept."""
