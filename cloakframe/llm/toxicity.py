@@ -3,8 +3,8 @@
 Fit, from rows of the training folds only:
 1. A bounded sample of labelled texts (the smallest hashes of their ids, at most `sample` of either
    label) is taken; exact and near copies among them count once.
-2. Terms are words and their prefixes of four to six letters. Those kept are frequent in toxic texts and
-   rare in others (log-likelihood ratio); one term is kept of a family of extensions. All other words
+2. Terms are words and their prefixes of four to six letters. Those kept are at least four times as frequent in toxic texts,
+   by more than chance (log-likelihood ratio); one term is kept of a family of extensions. All other words
    of a text are pooled in one background term, so that length does not matter but their presence does.
 3. Document frequencies of the kept terms are counted over all texts of the table.
 4. Every sampled text becomes a unit TF-IDF vector in an inverted index: examples lie in blocks of 64,
@@ -17,7 +17,7 @@ examples and the terms found are the evidence. Vectors seen before are looked up
 
 Defined results: null and empty texts hold the background term only and are scored like any other text
 without kept terms; without a toxic and a clean labelled text every score is 0; of several labels of one
-id the larger counts; labels that are null or whose document is missing are left out; repeated rows get equal scores.
+id the larger counts, of several texts of one the least by hash; labels that are null or whose document is missing are left out; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ from .common import ship, text_of
 FOLDS, HELD_OUT = 5, 0
 #: At most so many labelled texts of either label are fitted on.
 SAMPLE = 4_096
-NEIGHBOURS, BLOCK, MOST_TERMS = 16, 64, 1_024
+NEIGHBOURS, BLOCK = 16, 64
+#: Log-likelihood ratio of a term's counts from which it is kept: one in 10,000 by chance, at every size.
+SIGNIFICANT = 15.14
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"\w+")
 
@@ -197,28 +199,32 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(kx), np.array(ky)
 
 
-def _sketch(text: str) -> frozenset[int]:
-    """Three least hashes of the text's runs of four words; copies and most near copies share one of the first two."""
+def _runs(text: str) -> frozenset[int]:
+    """Hashes of the text's runs of four words."""
     import xxhash
 
     words = text.lower().split()
-    runs = {" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))}
-    return frozenset(min(xxhash.xxh64_intdigest(r, seed) for r in runs) for seed in (1, 2, 3))
+    return frozenset(xxhash.xxh64_intdigest(" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3)))
 
 
 def without_copies(rows: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The rows (id, label, text) whose sketch shares nothing with an earlier row's."""
-    known, out = set(), []
+    """The rows (id, label, text) without copies: a row goes if a kept one of the same label has 0.8 of its runs of words in
+    common (Jaccard). Candidates share one of eight least hashes."""
+    known: dict[tuple, list[frozenset[int]]] = {}
+    out = []
     for row in rows:
-        s = _sketch(row[2])
-        if not s & known:
-            out.append(row)
-        known |= s
+        runs = _runs(row[2])
+        marks = [(row[1], k, min(r * (2 * k + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for r in runs)) for k in range(8)]
+        if any(len(runs & other) >= 0.8 * len(runs | other) for m in marks for other in known.get(m, ())):
+            continue
+        for m in marks:
+            known.setdefault(m, []).append(runs)
+        out.append(row)
     return out
 
 
-def choose_terms(rows: list[tuple[int, int, str]], rates: tuple[float, float], most: int = MOST_TERMS) -> list[str]:
-    """Terms frequent in label 1 and rare in label 0, one of each family."""
+def choose_terms(rows: list[tuple[int, int, str]]) -> list[str]:
+    """Terms that are at least four times as frequent in label 1 and more so than chance has it (SIGNIFICANT), one of each family."""
     n, df = [0, 0], (Counter(), Counter())
     for _, y, text in rows:
         n[y] += 1
@@ -226,12 +232,14 @@ def choose_terms(rows: list[tuple[int, int, str]], rates: tuple[float, float], m
     scored = []
     for t, a in df[1].items():
         b = df[0][t]
-        if a < max(3, 0.01 * n[1]) or a / n[1] < 4 * (b + 0.5) / (n[0] + 1):
+        if a / n[1] < 4 * (b + 0.5) / (n[0] + 1):
             continue
         g = 0.0
         for seen, of in ((a, n[1]), (b, n[0])):
             expected = (a + b) * of / (n[0] + n[1])
             g += 2 * seen * math.log(seen / expected) if seen else 0.0
+        if g < SIGNIFICANT:
+            continue
         scored.append((-g, -len(t.rstrip("*")), t.endswith("*"), t))
     kept: list[str] = []
     stems: set[str] = set()
@@ -242,8 +250,6 @@ def choose_terms(rows: list[tuple[int, int, str]], rates: tuple[float, float], m
             continue
         stems.add(s)
         kept.append(t)
-        if len(kept) == most:
-            break
     return kept
 
 
@@ -257,13 +263,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * sample ids: a bounded broadcast.
-    rows = [(r["id"], r["y"], r["text"]) for r in docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id").collect()]
+    own = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    one = own.groupBy("id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))  # of a repeated id one text
+    rows = [(r["id"], r["y"], r["text"]) for r in one.collect()]
     rows = without_copies(sorted(rows, key=lambda r: (str(r[0]), r[2])))
     n = Counter(y for _, y, _ in rows)
     if not n[0] or not n[1]:
         return None
     rates = (sizes[0] / n[0], sizes[1] / n[1])
-    terms = choose_terms(rows, rates)
+    terms = choose_terms(rows)
     df, total = _document_frequencies(docs, terms, text_col)
     idf = np.log((total + 1) / (df + 1)) + 1
     probe = Model(terms, idf, 1.0, [], rates)
