@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -176,6 +177,26 @@ def test_local_search_empties_bins():
     assert len(packing.pack([600, 500, 424, 524], 1_024)) == 2
 
 
+def test_local_search_beats_best_fit():
+    rng = random.Random(5)
+    better = 0
+    for _ in range(20):
+        lengths = [rng.randint(200, 420) for _ in range(150)]
+        plain = packing.Bins(lengths, 1024)
+        plain.best_fit()
+        got = packing.pack(lengths, 1024)
+        assert sorted(i for x in got for i in x) == list(range(150)) and all(sum(lengths[i] for i in x) <= 1024 for x in got)
+        assert plain.fewest() <= len(got) <= len(plain.items)
+        better += len(got) < len(plain.items)
+    assert better >= 5
+
+
+def test_one_repeated_id_is_dealt_to_many_groups(spark):
+    df = spark.createDataFrame([(7, "a few words")] * 400, "doc_id long, text string").repartition(8)
+    cut = packing.pieces(df, public_tokenizers.path("byte_bpe_50k.json"))
+    assert cut.select("copy").distinct().count() == 400
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(120)]
@@ -226,6 +247,19 @@ def test_star_links_find_every_pair_within_four_bits():
                 assert root(a) == root(b)
 
 
+def test_fingerprints_equal_a_plain_count():
+    import xxhash
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "É", "x\u00a0y", "GAMMA"]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", " \t\n", "one", "a b c", "a b c d\x0be"]
+    for text in texts:
+        words = [w for w in re.split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if w]
+        runs = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text) == want, text
+
+
 def test_near_duplicates(spark, docs, none):
     long = [f"tok{i * 31 % 1009}" for i in range(900)]
     near = [" ".join(long), " ".join(long[:450] + ["changed"] + long[451:]), " ".join(random.Random(1).sample(long, 900))]
@@ -427,6 +461,27 @@ def test_near_copies_equal_brute_force(spark):
     assert {i for i, _ in left if i and i >= 200} == {200, 202, 204}
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, extra columns with the names that operators use, no rows at all."""
+    names = "doc_id long, text string, lines_removed long, score double, id long, row long, d string, cf_x int, sequence_id string"
+    many = [(None, None), (None, "only this one line here"), (None, "only this one line here"), (1, ""), (1, "a b c d e f g\nh i j"), (1, "a b c d e f g\nh i j"), (2, "x " * 40_000)]
+    rows = [(i, t, 7, 0.5, 3, 4, "d", 5, "s") for i, t in many]
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, df in (("some", spark.createDataFrame(rows, names)), ("empty", spark.createDataFrame([], names))):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        now = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for step, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, str(tmp_path / name))
+            assert out.columns == df.columns, step
+            out.write.parquet(str(tmp_path / name / step))
+            now = spark.read.parquet(str(tmp_path / name / step))
+        left = now.collect()
+        assert all(r["lines_removed"] == 7 and r["score"] == 0.5 and r["id"] == 3 for r in left)
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path / name)).collect()
+        assert len({r["doc_id"] for r in packed}) == len({r["doc_id"] for r in left}) and (name == "some") == bool(left)
+
+
 def test_pipeline(spark, tmp_path):
     df, labels = toxic_corpus(spark)
     extra = spark.createDataFrame([(1_000, "", "e"), (1_001, None, "e"), (1_002, "an only line that nobody else has", "e"), (1_003, "an only line that nobody else has", "e")], df.schema)
