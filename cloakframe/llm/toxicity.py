@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies, words
 from .common import ship, text_of
 
 FOLDS, HELD_OUT = 5, 0
@@ -122,13 +123,13 @@ class Model:
 
     def counts(self, text: str) -> dict[int, int]:
         """Occurrences of kept terms."""
-        found, words, out = _WORD.findall(text.lower()), self.words, {}
-        if len(words) > 300_000:
-            words.clear()
+        found, seen, out = _WORD.findall(text.lower()), self.words, {}
+        if len(seen) > 300_000:
+            seen.clear()
         for w in set(found):
-            hit = words.get(w)
+            hit = seen.get(w)
             if hit is None:
-                hit = words[w] = tuple(self.ids[t] for t in terms_of(w) if t in self.ids)
+                hit = seen[w] = tuple(self.ids[t] for t in terms_of(w) if t in self.ids)
             if hit:
                 n = found.count(w)
                 for t in hit:
@@ -199,36 +200,46 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(kx), np.array(ky)
 
 
-def _runs(text: str) -> frozenset[int]:
-    """Hashes of the text's runs of four words."""
-    import xxhash
-
-    words = text.lower().split()
-    return frozenset(xxhash.xxh64_intdigest(" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3)))
-
-
 def without_copies(rows: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The rows (id, label, text) without copies: a row goes if a kept one of the same label has 0.8 of its runs of words in
+    """The rows (id, label, text) without copies: a row goes if a kept one of the same label has 0.8 of its runs of four words in
     common (Jaccard). Candidates share one of eight least hashes."""
-    known: dict[tuple, list[frozenset[int]]] = {}
-    out = []
-    for row in rows:
-        runs = _runs(row[2])
-        marks = [(row[1], k, min(r * (2 * k + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for r in runs)) for k in range(8)]
-        if any(len(runs & other) >= 0.8 * len(runs | other) for m in marks for other in known.get(m, ())):
-            continue
-        for m in marks:
-            known.setdefault(m, []).append(runs)
-        out.append(row)
+    known: dict[tuple[int, int, int], list[np.ndarray]] = {}
+    out, factors = [], words.mixed(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
+    for lo in range(0, len(rows), 256):
+        values, sizes = near_copies.shingles([text for _, _, text in rows[lo : lo + 256]], 4)
+        for row, runs in zip(rows[lo : lo + 256], np.split(values, np.cumsum(sizes)[:-1]), strict=True):
+            marks = [(row[1], k, int((runs * f).min()) if len(runs) else 0) for k, f in enumerate(factors)]
+            near = {id(other): other for m in marks for other in known.get(m, ())}
+            if any((both := len(np.intersect1d(runs, other, assume_unique=True))) >= 0.8 * (len(runs) + len(other) - both) for other in near.values()):
+                continue
+            runs = runs.copy()
+            for m in marks:
+                known.setdefault(m, []).append(runs)
+            out.append(row)
     return out
 
 
 def choose_terms(rows: list[tuple[int, int, str]]) -> list[str]:
     """Terms that are at least four times as frequent in label 1 and more so than chance has it (SIGNIFICANT), one of each family."""
-    n, df = [0, 0], (Counter(), Counter())
+    n, df = Counter(y for _, y, _ in rows), (Counter(), Counter())
+    if not n[0] or not n[1]:
+        return []
+    for _, y, text in rows:
+        if y:
+            df[1].update({t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)})
+    # Without any use in label 0 a term needs so many texts to be significant; only such terms are counted there.
+    fewest = SIGNIFICANT / (2 * math.log((n[0] + n[1]) / n[1]))
+    df = (df[0], {t: a for t, a in df[1].items() if a >= fewest})
+    known: dict[str, tuple[str, ...]] = {}
     for _, y, text in rows:
-        n[y] += 1
-        df[y].update({t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)})
+        if not y:
+            found: set[str] = set()
+            for w in set(_WORD.findall(text.lower())):
+                hit = known.get(w)
+                if hit is None:
+                    hit = known[w] = tuple(t for t in terms_of(w) if t in df[1])
+                found.update(hit)
+            df[0].update(found)
     scored = []
     for t, a in df[1].items():
         b = df[0][t]

@@ -424,6 +424,14 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_documents(none, labels).count() == 0
 
 
+def test_only_verified_copies_of_a_label_go():
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 9_999)}" for _ in range(100)]
+    near, far = [*base[:-2], "x", "y"], [*base[:50], *(f"v{i}" for i in range(50))]
+    rows = [(1, 1, " ".join(base)), (2, 1, " ".join(near)), (3, 0, " ".join(base)), (4, 1, " ".join(far)), (5, 0, ""), (6, 0, " "), (7, 1, " ".join(base))]
+    assert [i for i, _, _ in toxicity.without_copies(rows)] == [1, 3, 4, 5]
+
+
 def test_index_is_exact():
     rng = random.Random(9)
     vectors = []
