@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.unicode import canonicalise, casefold, fuzzy_contains
+from ..functions.unicode import canonicalise, casefold, fuzzy_contains, subkey
 from ..operators import audit, evaluate, spans, vault
 from ..operators.detectors import iban_spans, rule_spans, span_rows, term_spans
 from ..operators.redact import decided, redact
@@ -263,6 +263,13 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.rollup("lang", "d.entity_type").agg(F.count("*").alias("n"), F.sum(F.col("d.needs_review").cast("int")).alias("to_review"))
 
 
+def engine_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on emails of the whole engine, by document."""
+    found = decided(_read(spark, sf_dir, "documents"), load_policy()).select("doc_id", F.filter("decisions", lambda d: d["entity_type"] == "EMAIL").alias("d"), "text")
+    values = F.array_sort(F.transform("d", lambda d: F.substring("text", d["start"] + 1, d["end"] - d["start"])))
+    return found.where(F.size("d") > 0).select("doc_id", F.size("d").cast("long").alias("n"), F.array_join(values, " ").alias("found"))
+
+
 def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decided(_read(spark, sf_dir, "pages"), load_policy(), text_col="html", site="chatgpt.com")
     return found.select("page_id", F.size("decisions").alias("n_decisions"), F.to_json("entity_counts").alias("entity_counts"))
@@ -292,7 +299,7 @@ def hmac_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     email_spans, email_spans_in_pages, card_luhn, phone_bare, ssn_issued, ssn_separated, sin_luhn, uk_nino, passport_lettered, key_prefixes, iban_mod97, dob_cue, company_terms, header_rows,
     merge_overlaps, dedupe_contained, address_gap_join, threshold_decide, allowlist_anti, mask_text, strike_text, splice_emails, label_masked_emails, remap_labels, vault_purge, output_names, first_claim,
-    latest_version, recall_rollup, precision_by_source, redact_documents, entity_counts, redact_pages, audit_lines, canonical_lengths, fuzzy_leak, hmac_lookup,
+    latest_version, recall_rollup, precision_by_source, redact_documents, entity_counts, engine_emails, redact_pages, audit_lines, canonical_lengths, fuzzy_leak, hmac_lookup,
 )
 
 
@@ -309,7 +316,12 @@ _LUHN = "list_sum(list_transform(range(len({v})), lambda i: case when i % 2 = 1
 _ISSUED = "substr({n}, 1, 3) not in ('000', '666') and substr({n}, 1, 1) <> '9' and substr({n}, 4, 2) <> '00' and substr({n}, 6, 4) <> '0000'"
 _RUNS = "regexp_extract_all({}, '[0-9]+')"
 
+_PADS = dict(zip(("inner", "outer"), (bytes(b ^ x for b in subkey(DEMO_KEY, b"vault hmac").ljust(64, b"\0")).hex() for x in (0x36, 0x5C)), strict=True))
+
 SQL = {
+    "engine_emails": _all_of("documents", "doc_id", _EMAIL.format("text")),
+    "hmac_lookup": f"select c_custkey, sha256(unhex('{_PADS['outer']}') || unhex(sha256(unhex('{_PADS['inner']}') || encode(c_name)))) as mac from customer",
+    "fuzzy_leak": "select c_custkey, levenshtein(lower(c_name), lower(regexp_replace(c_name, 'm', 'n'))) <= 1 as found from customer",
     "email_spans": _all_of("documents", "doc_id", _EMAIL.format("text")),
     "email_spans_in_pages": _all_of("pages", "page_id", _EMAIL.format("html")),
     "card_luhn": _all_of("documents", "doc_id", f"list_filter({_RUNS.format('text')}, lambda x: len(x) between 13 and 19 and {_LUHN.format(v='x')})"),
