@@ -57,6 +57,20 @@ def test_overlaps_widen_until_they_agree():
             assert token_counts.resync_encode(encode, t, chunk, overlap) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_texts_normalised_in_python_give_the_same_ids():
+    from cloakframe.llm import tokenizer_files
+
+    rng, whole, bare = random.Random(4), tokenizer_files.load(WORDS), tokenizer_files.load_plain(WORDS)
+    chars = [chr(c) for r in ((0x20, 0x7F), (0xA1, 0x250), (0x300, 0x370), (0x2010, 0x2028), (0x2030, 0x205F), (0x3041, 0x3100), (0x4E00, 0x4E40)) for c in range(*r)] + list(" \n\t  ") * 30
+    seen = 0
+    for _ in range(1_500):
+        text = "".join(rng.choice(chars) for _ in range(rng.randint(1, 80)))
+        if (form := tokenizer_files.plain(text)) is not None:
+            assert bare.encode(form, add_special_tokens=False).ids == whole.encode(text, add_special_tokens=False).ids, text
+            seen += 1
+    assert seen > 1_000
+
+
 def test_chunk_codec(docs, none):
     tok = Tokenizer.from_file(WORDS)
     got = {(r["doc_id"], r["decoded_sha256"]): r for r in chunk_codec.code_digests(docs, WORDS).collect()}
