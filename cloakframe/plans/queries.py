@@ -245,7 +245,7 @@ def recall_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def precision_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.sha2("text", 256).alias("value_digest"))
-    return evaluate.precision(d.select("lang", "source", "value_digest"), d.where("doc_id % 2 = 0").select("lang", "value_digest"), "lang", "source")
+    return evaluate.precision(d.select("lang", "source", "value_digest"), d.join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("lang", "value_digest"), "lang", "source")
 
 
 # --- without SQL --------------------------------------------------------------------------------------
@@ -369,6 +369,6 @@ SQL = {
     "first_claim": "select p_partkey, p_brand from part qualify row_number() over (partition by lower(p_brand) order by p_partkey) = 1",
     "latest_version": "select cast(user_id as varchar) as path, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "recall_rollup": "select lang, cast(toxic as varchar) as kind, count(*) as seeded, cast(sum(case when quality = 1 then 0 else 1 end) as bigint) as removed from labels join documents using (doc_id) group by rollup (lang, kind)",
-    "precision_by_source": """with d as (select lang, source, doc_id, sha256(text) as h from documents), k as (select distinct lang, h from d where doc_id % 2 = 0)
+    "precision_by_source": """with d as (select lang, source, doc_id, sha256(text) as h from documents), k as (select distinct lang, h from d where doc_id in (select doc_id from labels))
  select d.source, count(k.h) as true_positive, count(*) as redacted, round(count(k.h) / count(*), 4) as precision from d left join k on d.lang = k.lang and d.h = k.h group by d.source""",
 }
