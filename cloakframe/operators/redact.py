@@ -13,7 +13,7 @@ from ..functions import columns as C
 from ..functions import scan
 from ..plans import spec
 from ..plans.policy import DECISION, DECISIONS, Decider, Policy
-from ..session import ship, written
+from ..session import ship, spread, written
 from . import vault as V
 from .detectors import as_tuples, prepared, scanned
 from .spans import NONE  # noqa: F401  (the type of an empty span array, for models)
@@ -36,7 +36,7 @@ def decided(docs: DataFrame, policy: Policy, *, text_col: str = "text", site: st
     else the query fails."""
     ship(docs.sparkSession)
     own, terms = Decider(policy, site), tuple(policy.company_terms())
-    seen, text, more, fold = prepared(docs, text_col, True, model)
+    seen, text, more, fold = prepared(spread(docs), text_col, True, model)
     source = F.col("cf_folded.source") if model is not None else F.lit(None).cast("array<int>")
 
     @F.arrow_udf(f"struct<decisions:array<{DECISION}>,failed:string>")

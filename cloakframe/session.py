@@ -78,3 +78,14 @@ def discard(*tables: DataFrame) -> None:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t._cf_folder)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Tables of at most so many bytes, by Spark's estimate, are dealt to all cores before costly work on each row.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: a file of one row group is one task otherwise. Larger tables come in many splits and are left
+    as they are, so that never more than SMALL_BYTES are shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
