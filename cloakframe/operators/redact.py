@@ -54,6 +54,7 @@ def decided(docs: DataFrame, policy: Policy, *, text_col: str = "text", site: st
                     out.append({"decisions": None, "failed": type(e).__name__})
             yield pa.array(out, CHECKED)
 
+    run = run.asNondeterministic()  # else a filter on decisions, also the one that explode() implies, would repeat the pass
     out = seen.withColumn("cf_checked", run(text, source, more)).withColumn("decisions", F.col("cf_checked.decisions"))
     kinds = F.transform("decisions", lambda d: d["entity_type"])
     counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda t: F.struct(t, F.size(F.filter(kinds, lambda x: x == t)).cast("long"))))
