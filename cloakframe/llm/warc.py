@@ -36,6 +36,8 @@ from .common import parallelism, shared_dir, ship, text_of
 MIN_REVISIT = 1_000
 ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES, GAP_BYTES = 4 << 20, 64 << 10
+#: Parts into which the records of one digest are dealt.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value of the WARC standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -85,10 +87,13 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     spark = ship(pages.sparkSession)
     body = text_of(payload_col)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("body"), F.octet_length(body).cast("long").alias("bytes"), F.sha1(body.cast("binary")).alias("digest"))
-    # The hot digests of a skewed table are split by the join itself; small payloads need no partner and are dealt by id.
+    # Records of one digest are dealt to SALTS parts and every digest that occurs again has its winner in each of them; small
+    # payloads need no partner and are dealt by id.
     rows = rows.withColumn("meet", F.when(F.col("bytes") >= min_revisit, F.col("digest")).otherwise(F.concat_ws(":", F.lit("own"), F.col("id").cast("string"), F.col("url"))))
-    winners = pages.select(F.col(id_col).alias("id"), body.alias("body")).where(F.octet_length("body") >= min_revisit).groupBy(F.sha1(F.col("body").cast("binary")).alias("meet")).agg(F.max("id").alias("winner"))
-    joined = rows.join(winners, "meet", "left").select("id", "url", "body", "bytes", "digest", F.when(~F.col("winner").eqNullSafe(F.col("id")), F.col("winner")).alias("refers_to"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+    winners = pages.select(F.col(id_col).alias("id"), body.alias("body")).where(F.octet_length("body") >= min_revisit).groupBy(F.sha1(F.col("body").cast("binary")).alias("meet")).agg(F.max("id").alias("winner"), F.count("*").alias("n"))
+    winners = winners.where("n > 1").select("meet", "winner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = rows.join(winners, ["meet", "salt"], "left").select("id", "url", "body", "bytes", "digest", F.when(~F.col("winner").eqNullSafe(F.col("id")), F.col("winner")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
