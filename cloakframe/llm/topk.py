@@ -80,7 +80,9 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256,
     asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     n, n_asked, width = (x or 0 for x in rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first())
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_asked // query_rows))
-    cand = rows.select("id", "v", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
+    # Of equal rows at most k can be among the best. Shards go by what a row holds, so that a task run again deals it alike.
+    cand = rows.groupBy("id", "v").agg(F.count("*").alias("n")).select("id", "v", F.explode(F.sequence(F.lit(1), F.least(F.col("n").cast("int"), F.lit(k)))).alias("copy"))
+    cand = cand.select("id", "v", F.pmod(F.xxhash64("id", "v", "copy"), F.lit(shards)).alias("shard"))
     cand = cand.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard").select(F.col("id").alias("sid"), F.col("v").alias("sv"), (F.col("block") * shards + F.col("shard")).alias("stile"))
     ask = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     ask = ask.select("id", "v", (F.col("block") * shards + F.col("shard")).cast("long").alias("tile"))
