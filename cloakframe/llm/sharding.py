@@ -3,9 +3,10 @@
 A row's place is a 60-bit hash of its id and its text's digest. The directory starts as one bucket and
 only buckets over the byte limit are split on their next bit, until each fits. A round looks at 16 more
 bits at once: bytes are summed by these bits (at most 65,536 cells for each bucket that is still too
-large, pre-aggregated before the shuffle), each cell's ancestors are summed, and a row's bucket is the
-shallowest ancestor that fits. Rows are joined to cells by hash bits; only rows of cells that fit at no
-depth go to the next round.
+large, pre-aggregated before the shuffle), buckets of the lower 8 bits are summed from cells and those
+of the upper 8 from the highest of these, and a row's bucket is the shallowest that fits. A bucket of the
+upper bits meets its cells as the buckets half way down, so that a key has at most 256 cells. Rows are
+joined to cells by hash bits; only rows of cells that fit at no depth go to the next round.
 
 Rows whose hashes are all equal (the same id and text again and again) cannot be told apart by any bit.
 Such a bucket is paged instead: rows are numbered through counts by input partition, so that no task
@@ -56,12 +57,20 @@ def _cells(rows: DataFrame, base: int, deep: int, max_bytes: int) -> DataFrame:
     """Cells of `deep` bits: cell, and of the shallowest bucket above it, from `base` bits on, that fits or can't be
     split: depth, docs, bytes, paged; nulls where none does."""
     cells = rows.groupBy(F.shiftright("h", HASH_BITS - deep).alias("cell")).agg(F.sum("n").alias("bytes"), F.count("*").alias("docs"), F.min("h").alias("low"), F.max("h").alias("high"))
-    up = cells.select("*", F.explode(F.sequence(F.lit(base), F.lit(deep))).alias("depth"))
-    up = up.withColumn("bits", F.expr(f"shiftright(cell, {deep} - depth)"))
-    buckets = up.groupBy("depth", "bits").agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high"))
+    half = (base + deep) // 2
+    sums = [F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high")]
+    low = cells.select("*", F.explode(F.sequence(F.lit(half), F.lit(deep))).alias("depth")).groupBy("depth", F.expr(f"shiftright(cell, {deep} - depth)").alias("bits")).agg(*sums)
     fits = (F.col("bytes") <= max_bytes) | (F.col("low") == F.col("high"))
-    leaf = buckets.where(fits).select("depth", "bits", "bytes", "docs", ((F.col("bytes") > max_bytes) & (F.col("docs") > 1)).alias("paged"))
-    found = up.select("cell", "depth", "bits").join(leaf, ["depth", "bits"]).groupBy("cell").agg(F.min(F.struct("depth", "docs", "bytes", "paged")).alias("leaf"))
+    is_leaf = F.struct("depth", "docs", "bytes", ((F.col("bytes") > max_bytes) & (F.col("docs") > 1)).alias("paged")).alias("leaf")
+    leaf = low.where(fits).select(F.col("depth").alias("meet"), "bits", is_leaf)
+    if half > base:
+        high = low.where(F.col("depth") == half).withColumnRenamed("bits", "at").drop("depth").select("*", F.explode(F.sequence(F.lit(base), F.lit(half - 1))).alias("depth"))
+        high = high.groupBy("depth", F.expr(f"shiftright(at, {half} - depth)").alias("bits")).agg(*sums).where(fits)
+        below = F.expr(f"explode(sequence(shiftleft(bits, {half} - depth), shiftleft(bits + 1, {half} - depth) - 1))")
+        leaf = leaf.unionByName(high.select(F.lit(half).alias("meet"), below.alias("bits"), is_leaf))
+    leaf = leaf.groupBy("meet", "bits").agg(F.min("leaf").alias("leaf"))
+    up = cells.select("cell", F.explode(F.sequence(F.lit(half), F.lit(deep))).alias("meet")).withColumn("bits", F.expr(f"shiftright(cell, {deep} - meet)"))
+    found = up.join(leaf, ["meet", "bits"]).groupBy("cell").agg(F.min("leaf").alias("leaf"))
     return cells.select("cell").join(found, "cell", "left").select("cell", "leaf.depth", "leaf.docs", "leaf.bytes", "leaf.paged")
 
 
