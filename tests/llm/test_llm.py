@@ -131,6 +131,10 @@ def test_warc(spark):
         want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", 9 if again else None))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert warc.archive_and_read(pages.where("false")).count() == 0
+    named = ("body", "bytes", "digest", "meet", "salt", "winner", "id", "archive", "offset")
+    hot = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit(big).alias("html"), *[F.lit(0).alias(c) for c in named])
+    kinds = {(r["record_type"], r["refers_to"]): r["n"] for r in warc.archive_and_read(hot).groupBy("record_type", "refers_to").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {("revisit", 299): 299, ("response", None): 1}
     assert [x[3] for x in warc.coalesced([("a", 0, 5), ("a", 5, 5), ("a", 500, 5), ("b", 0, 5)], gap=10)] == [[0, 1], [2], [3]]
 
 
@@ -149,6 +153,12 @@ def test_shards(spark, docs, none):
 
     many = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
     assert len(check(many, 700)) == 500
+    # Brute force: the shallowest prefix of the hash whose bytes fit, whatever the number of bits of a round.
+    place = {i: f"{int(hashlib.md5(f'{i}:{hashlib.md5(b"x" * (i % 50)).hexdigest()}'.encode()).hexdigest()[:15], 16):060b}" for i in range(500)}
+    fits = lambda bits: sum(j % 50 for j, p in place.items() if p.startswith(bits)) <= 700
+    want = {i: next(p[:d] for d in range(61) if fits(p[:d])) for i, p in place.items()}
+    for step in (1, 5, 16):
+        assert {r["doc_id"]: r["shard"] for r in sharding.extendible_shards(many, max_bytes=700, step=step).collect()} == want
     same = many.unionByName(spark.range(200).select(F.lit(7).cast("long").alias("doc_id"), F.lit("hot hot hot").alias("text")))
     assert len(check(same, 700)) == 700
     assert len(check(docs, 3_000)) == len(ROWS) and check(none, 10) == []
@@ -225,6 +235,8 @@ def test_top_k(spark):
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(all_)]
     assert got == sorted(want)
     assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+    copies = spark.createDataFrame([(0, [1.0]), *[(9, [1.0])] * 30, (8, [0.5])], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(copies, F.col("vec_id") == 0, shard_rows=4).orderBy("rank").collect()] == [(9, 65_536)] * 5
 
 
 def test_exact_scores_beyond_doubles():
