@@ -114,3 +114,8 @@ def purge(vault: DataFrame, retention_days: int, now: float) -> DataFrame:
 def hmac_hex(key: bytes, message: str) -> str:
     """The vault's HMAC of a text, on the driver."""
     return hmac.new(subkey(key, b"vault hmac"), message.encode("utf-8"), hashlib.sha256).hexdigest()
+
+
+def newest_scopes(uses: DataFrame, scope_col: str, at_col: str, most: int = 5_000) -> DataFrame:
+    """The scopes used last, `most` of them: those are remembered and older ones forgotten. Ties go to the smaller scope."""
+    return uses.where(F.col(scope_col).isNotNull()).groupBy(scope_col).agg(F.max(at_col).alias("last_use")).orderBy(F.desc("last_use"), scope_col).limit(most)

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.unicode import canonicalise, casefold, fuzzy_contains, subkey
-from ..operators import audit, evaluate, spans, vault
+from ..operators import audit, chunks, evaluate, geometry, spans, vault
 from ..operators.detectors import iban_spans, rule_spans, span_rows, term_spans
 from ..operators.redact import decided, redact
 from ..session import ship
@@ -296,10 +296,66 @@ def hmac_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", C.hmac_sha256(F.col("inner"), F.col("outer"), F.col("c_name")).alias("mac"))
 
 
+# --- pages of recognised text, chunks, rankings -------------------------------------------------------
+
+
+def _page_lines(spark: SparkSession, sf_dir: str, text: Column, quad: Column) -> DataFrame:
+    e = _read(spark, sf_dir, "events").select("event_id", F.expr("event_id div 20").alias("page"), (F.col("event_id") % 20).alias("line"))
+    return e.withColumn("text", text).withColumn("quad", quad)
+
+
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 20 lines, turned by quarters; the sixth line of each reads across the others."""
+    slot = (F.col("line") * 7) % 20
+    x, y = 100 * (slot % 4) + F.col("line") % 3, 30 * F.floor(slot / 4) + (F.col("event_id") * 13) % 17
+    way = (F.col("page") + F.when(F.col("line") == 5, 1).otherwise(0)) % 4
+    turned = lambda a, b: F.when(way == 0, geometry.point(a, b)).when(way == 1, geometry.point(-b, a)).when(way == 2, geometry.point(-a, -b)).otherwise(geometry.point(b, -a))
+    quad = F.array(turned(x, y), turned(x + 80, y), turned(x + 80, y + 20), turned(x, y + 20))
+    return geometry.reading_order(_page_lines(spark, sf_dir, F.lit(""), quad), "page")
+
+
+def span_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _page_lines(spark, sf_dir, F.repeat(F.lit("x"), ((F.col("event_id") * 7) % 23).cast("int")), F.lit(None))
+    start = (F.col("event_id") * 37) % 200
+    found = _read(spark, sf_dir, "events").select("event_id", F.expr("event_id div 20").alias("page"), start.alias("start"), (start + F.col("event_id") % 40).alias("end"))
+    return geometry.pieces_of_spans(found, lines.select("page", "line", "text"), "page")
+
+
+def masked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two boxes a page over its upper lines; one has a label."""
+    text = F.concat(F.lit("ab cd "), F.col("event_id").cast("string"))
+    wide, top = F.length(text) * 10, F.col("line") * 20
+    zero = F.lit(0)
+    lines = _page_lines(spark, sf_dir, text, F.array(geometry.point(zero, top), geometry.point(wide, top), geometry.point(wide, top + 20), geometry.point(zero, top + 20)))
+    left = F.col("box") * 20 + 5 + F.col("page") % 7
+    rect = F.array(geometry.point(left, zero), geometry.point(left + 35, zero), geometry.point(left + 35, F.lit(200)), geometry.point(left, F.lit(200)))
+    boxes = lines.select("page").distinct().select("page", F.explode(F.array(F.lit(0), F.lit(1))).alias("box")).select("page", "box", rect.alias("quad"), F.when((F.col("page") + F.col("box")) % 2 == 0, "[X_1]").alias("label"))
+    return geometry.masked_lines(lines, boxes, "page")
+
+
+def chunked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of four chunks of 8 bytes and less; of five, one is right and four have a fault each."""
+    e = _read(spark, sf_dir, "events").select(F.expr("event_id div 4").alias("request"), (F.col("event_id") % 4).alias("seq"), F.md5(F.col("event_id").cast("string").cast("binary")).alias("m"))
+    fault = F.col("request") % 5
+    many = F.when((fault == 1) & (F.col("seq") == 2), 7).when(F.col("seq") == 3, 5).otherwise(8)
+    data = F.when((fault == 4) & (F.col("seq") == 1), "***").otherwise(F.base64(F.substring("m", F.lit(1), many).cast("binary")))
+    sent = e.where((fault != 2) | (F.col("seq") != 3)).select("request", F.when(fault == 3, -F.col("seq")).otherwise(F.col("seq")).alias("arrival"), "seq", F.lit(4).alias("total"), F.lit(29).alias("size"), data.alias("data"))
+    return chunks.reassembled(sent, chunk_bytes=8).withColumn("payload", F.col("payload").cast("string"))
+
+
+def timing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.timings(_read(spark, sf_dir, "events"), "value", "event_type").withColumn("median", F.round("median", 6))
+
+
+def newest_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vault.newest_scopes(_read(spark, sf_dir, "events").withColumn("second", F.unix_timestamp("ts")), "user_id", "second")
+
+
 ALL = (
     email_spans, email_spans_in_pages, card_luhn, phone_bare, ssn_issued, ssn_separated, sin_luhn, uk_nino, passport_lettered, key_prefixes, iban_mod97, dob_cue, company_terms, header_rows,
     merge_overlaps, dedupe_contained, address_gap_join, threshold_decide, allowlist_anti, mask_text, strike_text, splice_emails, label_masked_emails, remap_labels, vault_purge, output_names, first_claim,
     latest_version, recall_rollup, precision_by_source, redact_documents, entity_counts, engine_emails, redact_pages, audit_lines, canonical_lengths, fuzzy_leak, hmac_lookup,
+    reading_order, span_pieces, masked_lines, chunked_requests, timing_stats, newest_scopes,
 )
 
 
@@ -319,6 +375,29 @@ _RUNS = "regexp_extract_all({}, '[0-9]+')"
 _PADS = dict(zip(("inner", "outer"), (bytes(b ^ x for b in subkey(DEMO_KEY, b"vault hmac").ljust(64, b"\0")).hex() for x in (0x36, 0x5C)), strict=True))
 
 SQL = {
+    "reading_order": """with recursive l as (select event_id // 20 as page, event_id % 20 as line, 100 * (((event_id % 20) * 7) % 20 % 4) + (event_id % 20) % 3 + 40 as x, 30 * (((event_id % 20) * 7) % 20 // 4) + (event_id * 13) % 17 + 10 as y from events),
+ c as (select page, line, case when line = 5 then -y else x end as x, case when line = 5 then x else y end as y from l),
+ o as (select *, row_number() over (partition by page order by y, line) as k from c),
+ r(page, k, line, x, y, "row", top) as (select page, k, line, x, y, 0, y from o where k = 1 union all
+  select o.page, o.k, o.line, o.x, o.y, case when abs(o.y - r.top) < 10 then r."row" else r."row" + 1 end, case when abs(o.y - r.top) < 10 then r.top else o.y end from r join o on o.page = r.page and o.k = r.k + 1)
+ select page, line, cast("row" as int) as "row", cast(row_number() over (partition by page order by "row", x, y, line) - 1 as int) as place from r""",
+    "span_pieces": """with l as (select event_id // 20 as page, event_id % 20 as line, (event_id * 7) % 23 as n from events),
+ a as (select *, coalesce(sum(n + 1) over (partition by page order by line rows between unbounded preceding and 1 preceding), 0) as at from l),
+ s as (select event_id, event_id // 20 as page, (event_id * 37) % 200 as start, (event_id * 37) % 200 + event_id % 40 as "end" from events)
+ select s.event_id, s.page, s.start, s."end", a.line, cast(greatest(s.start - a.at, 0) as bigint) as "from", cast(least(s."end" - a.at, a.n) as bigint) as "to"
+ from s join a on a.page = s.page and s.start < a.at + a.n and s."end" > a.at and s.start < s."end" and a.n > 0""",
+    "masked_lines": """with l as (select event_id // 20 as page, event_id % 20 as line, 'ab cd ' || event_id as text from events),
+ c as (select page, line, unnest(range(len(text))) as i, unnest(string_split(text, '')) as ch from l),
+ b as (select page, box, 20 * box + 5 + page % 7 - 5.25 as x0, 20 * box + 40 + page % 7 + 5.25 as x1, case when (page + box) % 2 = 0 then '[X_1]' end as label from (select distinct page from l), (values (0), (1)) v(box)),
+ h as (select c.page, c.line, c.i, c.ch, (select min(box) from b where b.page = c.page and 10 * c.i + 5 between x0 and x1 and 20 * c.line + 10 <= 205.25) as own from c),
+ f as (select *, case when ch = ' ' then case when lag(own) over w is not distinct from lead(own) over w then lag(own) over w end else own end as box from h window w as (partition by page, line order by i)),
+ n as (select *, sum(case when box is null or box is distinct from was then 1 else 0 end) over (partition by page, line order by i) as run from (select *, lag(box) over (partition by page, line order by i) as was from f)),
+ g as (select page, line, run, box, count(*) as n, min(ch) as ch from n group by page, line, run, box)
+ select g.page, g.line, string_agg(case when g.box is null then g.ch else coalesce(b.label, repeat('█', g.n)) end, '' order by g.run) as masked from g left join b on b.page = g.page and b.box = g.box group by g.page, g.line""",
+    "chunked_requests": """with c as (select event_id // 4 as request, string_agg(substr(md5(cast(event_id as varchar)), 1, case when event_id % 4 = 3 then 5 else 8 end), '' order by event_id) as whole from events group by 1)
+ select request, case request % 5 when 0 then 'complete' when 2 then 'incomplete' when 4 then 'bad_message' else 'bad_sequence' end as state, case when request % 5 = 0 then whole end as payload from c""",
+    "timing_stats": "select event_type, round(median(value), 6) as median, min(value) as least, max(value) as most, count(value) as runs from events group by event_type",
+    "newest_scopes": "select user_id, max(cast(floor(epoch(ts)) as bigint)) as last_use from events where user_id is not null group by user_id order by last_use desc, user_id limit 5000",
     "engine_emails": _all_of("documents", "doc_id", _EMAIL.format("text")),
     "hmac_lookup": f"select c_custkey, sha256(unhex('{_PADS['outer']}') || unhex(sha256(unhex('{_PADS['inner']}') || encode(c_name)))) as mac from customer",
     "fuzzy_leak": "select c_custkey, levenshtein(lower(c_name), lower(regexp_replace(c_name, 'm', 'n'))) <= 1 as found from customer",
