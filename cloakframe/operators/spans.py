@@ -81,8 +81,9 @@ def merge_rows(spans: DataFrame, *keys: str) -> DataFrame:
 
 
 def join_address_rows(spans: DataFrame, *keys: str, gap: int = spec.ADDRESS_GAP) -> DataFrame:
-    """Spans over two neighbouring addresses at most gap apart, by lead()."""
-    w = Window.partitionBy(*keys).orderBy("start", "end", "detector")
+    """Spans over two neighbouring addresses at most gap apart, by lead(). Addresses of one place and detector follow each other
+    by score and validation, so the rows' order in the table has no say."""
+    w = Window.partitionBy(*keys).orderBy("start", "end", "detector", "score", "validated")
     nxt = spans.where("entity_type = 'ADDRESS'").withColumns({"next_start": F.lead("start").over(w), "next_end": F.lead("end").over(w), "next_score": F.lead("score").over(w)})
     near = nxt.where((F.col("next_start") - F.col("end") > 0) & (F.col("next_start") - F.col("end") <= gap))
     return near.select(*keys, "start", F.col("next_end").alias("end"), "entity_type", F.greatest("score", "next_score").alias("score"), F.lit("address.join").alias("detector"), F.lit(False).alias("validated"))
