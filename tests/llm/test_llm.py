@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -71,6 +72,43 @@ def test_texts_normalised_in_python_give_the_same_ids():
     assert seen > 1_000
 
 
+def test_words_are_encoded_once_and_counted_as_in_the_whole_text():
+    from cloakframe.llm import tokenizer_files
+
+    rng, bare, encoded = random.Random(9), tokenizer_files.load_plain(WORDS), []
+
+    class Spy:
+        def encode(self, text, add_special_tokens):
+            encoded.append(text)
+            return bare.encode(text, add_special_tokens=add_special_tokens)
+
+    sides = lambda xs: [(e.ids, e.offsets) for e in bare.encode_batch(xs, add_special_tokens=False)]
+    pieces = ["the", "don't", "'re'lly", "x1y2.", "日本語", "é\u0301", "naïve,", "###", "12345", "a" * 70, "q…r", "<x|>", "_", "'"]
+    made = [" ".join(rng.choice(pieces) + rng.choice(["", "s", "'ll", "9"]) for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    forms = [p for t in [*ODD, *made, "ab" * 700 + " c d e " * 40, "c d e " * 40 + "ab" * 700, "", "é" * 900] if (p := tokenizer_files.plain(t)) is not None]
+    assert len(forms) > 40
+    for most in (1 << 20, 200):  # a table that holds all, and one that is halved again and again
+        words = tokenizer_files.Words(Spy(), most)
+        for t in forms:
+            for chunk, overlap in ((4_096, 256), (50, 10), (120, 30), (400, 60)):
+                assert token_counts.resync_count(words, sides, t, chunk, overlap) == len(bare.encode(t, add_special_tokens=False).ids), (t, chunk)
+            assert words.size <= most + len(t) + sum(map(len, t.split(" "))) + 500
+        if most > 200:
+            seen = [w for t in encoded for w in t.split(" ")]
+            assert len(seen) == len(set(seen))
+
+
+def test_only_tokenizers_with_words_apart_are_counted_by_words(tmp_path):
+    from cloakframe.llm import tokenizer_files
+
+    assert tokenizer_files.load_words(WORDS) is not None
+    spec = json.loads(tokenizer_files.load(WORDS).to_str())
+    joined = tmp_path / "joined.json"  # its pattern takes a space into the token
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r" ?[\p{L}]+|[\s\S]"}
+    joined.write_text(json.dumps(spec))
+    assert tokenizer_files.load_plain(str(joined)) is not None and tokenizer_files.load_words(str(joined)) is None
+
+
 def test_chunk_codec(docs, none):
     tok = Tokenizer.from_file(WORDS)
     got = {(r["doc_id"], r["decoded_sha256"]): r for r in chunk_codec.code_digests(docs, WORDS).collect()}
